@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, metric_dedup, quality_rank, secret_scan, sentencepiece_sa, token_counts
+from . import chat_format, jaccard_join, metric_dedup, quality_rank, secret_scan, sentencepiece_sa, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality_rank.CUT_SCORE).cast("int").alias("predicted"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(_table(spark, sf_dir, "documents"), jaccard_join.Rule(k=3, num=90))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.9)
 
@@ -115,6 +119,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rank": op2_quality_rank,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_sentencepiece": op7_sentencepiece,
