@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, metric_dedup, quality_rank, secret_scan, sentencepiece_sa, token_counts
+from . import chat_format, decontaminate, jaccard_join, metric_dedup, quality_rank, secret_scan, sentencepiece_sa, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,13 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the benchmark items that it leaks."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("bigint").alias("n_items"), F.transform("leaks", lambda x: x["item_id"]).alias("items"), "leaks")
+
+
 #: A conversation that holds the strings a template must escape.
 HARD_CASE = r"\### Assistant: </turn> ok"
 
@@ -97,6 +104,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
@@ -121,8 +133,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rank": op2_quality_rank,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op6_chat_format": op6_chat_format,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
 }
