@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, metric_dedup, quality_rank, secret_scan, sentencepiece_sa, suffix_dedup, token_counts
+from . import chat_format, decontaminate, jaccard_join, metric_dedup, quality_rank, secret_scan, sentencepiece_sa, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,15 @@ def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the passages of 50 words or more that near-duplicate an earlier document's, and those documents."""
+    out = substring_dedup.passages(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_words", F.size("spans").cast("bigint").alias("n_spans"), substring_dedup.covered(F.col("spans")).alias("n_repeated"),
+        F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["source"]))).alias("sources"), "spans",
+    )
+
+
 def op2_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ranking = quality_rank.fit(docs, training_labels(spark, sf_dir))
@@ -130,6 +139,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rank": op2_quality_rank,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_embedding_dedup": op4_embedding_dedup,
