@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 #: Pre-tokens that a worker remembers before it starts afresh.
-MEMORY = 400_000
+MEMORY = 1_200_000
 _PAIR_MEMORY = 2_000_000
 _open: dict[str, PrefixCounter] = {}
 
@@ -58,6 +58,7 @@ class PrefixCounter:
         self.special_len = {t: len(t) for t in special}
         self.known: dict[str, tuple[int, bytes]] = {}
         self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.row: tuple[bytes, list[bytes], list[int]] = (b"", [b""], [0])
 
     def as_letters(self, raw: bytes) -> str:
         return "".join(map(self.letters.__getitem__, raw))
@@ -84,11 +85,16 @@ class PrefixCounter:
         return counts[-1], bytes([b - a & 255 for a, b in zip([0, *counts], counts)])
 
     def by_bytes(self, raw: bytes) -> list[int]:
-        """Tokens of each prefix of one pre-token, by byte."""
+        """Tokens of each prefix of one pre-token, by byte. What it shares with the one before it is kept from there."""
         ids, apart, own, longest = self.ids, self.apart, self.own, self.longest
-        last: list[bytes] = [b""]
-        count = [0]
-        for i in range(1, len(raw) + 1):
+        before, last, count = self.row
+        n = 0
+        for a, b in zip(before, raw):
+            if a != b:
+                break
+            n += 1
+        del last[n + 1 :], count[n + 1 :]
+        for i in range(n + 1, len(raw) + 1):
             for j in range(max(0, i - longest), i):
                 t = raw[j:i]
                 if t not in ids:
@@ -97,38 +103,31 @@ class PrefixCounter:
                     if i > 1 and not own[t]:
                         continue
                 else:
-                    before = last[j]
-                    ok = apart.get((before, t))
+                    ok = apart.get((last[j], t))
                     if ok is None:
-                        ok = self.keeps_apart(before, t)
+                        ok = self.keeps_apart(last[j], t)
                     if not ok:
                         continue
                 last.append(t)
                 count.append(count[j] + 1)
                 break
+        self.row = raw, last, count
         return count[1:]
 
-    def look(self, pieces: list[str]) -> list[tuple[int, bytes]]:
+    def learn(self, lists: list[list[str]]) -> None:
+        """Remember the pre-tokens that are new, in order, so that neighbours share what they begin with."""
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        out = list(map(known.get, pieces))
-        if None in out:
-            for k, x in enumerate(out):
-                if x is None:
-                    p = pieces[k]
-                    x = known.get(p)
-                    if x is None:
-                        x = self.piece(p)
-                        if len(p) < 64:
-                            known[p] = x
-                    out[k] = x
-        return out
+        for p in sorted(set().union(*lists).difference(known)):
+            known[p] = self.piece(p)
 
-    def plain(self, text: str) -> tuple[int, bytes, str]:
+    def plain(self, text: str, pieces: list[str] | None = None) -> tuple[int, bytes, str]:
         """(tokens, changes, last pre-token) of a text without special tokens."""
-        pieces = self.pattern.findall(text)
-        found = self.look(pieces)
+        if pieces is None:
+            pieces = self.pattern.findall(text)
+            self.learn([pieces])
+        found = list(map(self.known.__getitem__, pieces))
         changes = b"".join([x[1] for x in found])
         if _BLANKS.search(text):
             changes = self.in_blanks(pieces, found, changes)
@@ -147,6 +146,14 @@ class PrefixCounter:
             at += len(p)
         return out.tobytes()
 
+    def batch(self, texts: list[str]) -> list[tuple[int, bytes]]:
+        """``counts`` of each text."""
+        special = [self.special is not None and "<" in t and bool(self.special.search(t)) for t in texts]
+        pieces = [[] if odd else self.pattern.findall(t) for t, odd in zip(texts, special)]
+        self.learn(pieces)
+        out = [(0, b"") if odd else self.plain(t, p)[:2] for t, p, odd in zip(texts, pieces, special)]
+        return [self.counts(t) if odd else x for t, x, odd in zip(texts, out, special)]
+
     def counts(self, text: str) -> tuple[int, bytes]:
         """(tokens, change of the count at each character) of a whole text."""
         if self.special is None or "<" not in text or not self.special.search(text):
@@ -181,9 +188,9 @@ def prefix_token_counts(df: DataFrame, path: str, pattern: str, text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path, pattern)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                got = [c.counts(t) if t else (0, b"") for t in part.column(len(keep)).to_pylist()]
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                got = c.batch([t or "" for t in part.column(len(keep)).to_pylist()])
                 cols = [part.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(
                     [*cols, pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.binary())],
