@@ -117,7 +117,9 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
 
 
 PX = "WITH px AS (SELECT l_orderkey, l_quantity / 50 AS r, l_discount * 10 AS g, l_tax * 12.5e0 AS b, l_orderkey % 1080 AS x, l_partkey % 1920 AS y FROM lineitem)"
-RGB = tuple(map(F.col, "rgb"))
+def RGB():  # noqa: N802
+    """The pixel as columns."""
+    return tuple(map(F.col, "rgb"))
 
 
 def rgb6(rgb) -> list[Column]:
@@ -130,7 +132,8 @@ def c01(x: str) -> str:
 
 # ---- easing and tracks
 
-_U = F.col("value") / 500
+def _U() -> Column:  # noqa: N802
+    return F.col("value") / 500
 
 
 @query(f"""
@@ -139,7 +142,7 @@ SELECT event_id, 0e0 AS hold, {R('u')} AS linear, {R('u * u * u')} AS ease_in, {
   {R('CASE WHEN u < 0.5e0 THEN 4 * u * u * u ELSE 1 - (2 - 2 * u) * (2 - 2 * u) * (2 - 2 * u) / 2 END')} AS ease_in_out FROM e""")
 def ease_named(spark, d):
     cols = {"hold": "hold", "linear": "linear", "easeIn": "ease_in", "easeOut": "ease_out", "easeInOut": "ease_in_out"}
-    return table(spark, d, "events").select("event_id", *[r6(easing.eased(k, _U)).alias(v) for k, v in cols.items()])
+    return table(spark, d, "events").select("event_id", *[r6(easing.eased(k, _U())).alias(v) for k, v in cols.items()])
 
 
 def sql_bezier(u: str, x1: float, y1: float, x2: float, y2: float) -> str:
@@ -152,7 +155,7 @@ def sql_bezier(u: str, x1: float, y1: float, x2: float, y2: float) -> str:
 WITH e AS (SELECT event_id, value / 500 AS u FROM events)
 SELECT event_id, {R(sql_bezier('u', 0.42, 0, 1, 1))} AS ease, {R(sql_bezier('u', 0.25, 0.1, 0.25, 1))} AS soft FROM e""")
 def ease_bezier(spark, d):
-    return table(spark, d, "events").select("event_id", r6(easing.bezier(_U, 0.42, 0, 1, 1)).alias("ease"), r6(easing.bezier(_U, 0.25, 0.1, 0.25, 1)).alias("soft"))
+    return table(spark, d, "events").select("event_id", r6(easing.bezier(_U(), 0.42, 0, 1, 1)).alias("ease"), r6(easing.bezier(_U(), 0.25, 0.1, 0.25, 1)).alias("soft"))
 
 
 EASES = ["easeIn", "easeInn", "", "cubicBezier(1,2)", "cubicBezier(a,b,c,d)", "cubicBezier(0.42, 0, 1 ,1)", "cubicBezier(0,0,1,nan)", "cubicBezier(0,0,1,1", "hold", "cubicBezier(0,0,1,1,1)", "linear", "EaseOut"]
@@ -241,13 +244,13 @@ def grade_pixels(spark, d):
 @query(f"{PX}, {sql_grade('0e0', '1e0', '1e0', '(0.3e0 + radians(20e0))')} SELECT l_orderkey, {', '.join(f'{R(f'g{n}')} AS {n}' for n in 'rgb')} FROM g3")
 def hue_rotate(spark, d):
     tint = F.lit(0.3) + F.radians(F.lit(20.0))
-    return pixels(spark, d).select("l_orderkey", *rgb6(color.graded(RGB, tint=tint)))
+    return pixels(spark, d).select("l_orderkey", *rgb6(color.graded(RGB(), tint=tint)))
 
 
 @query(f"""{PX}, q AS (SELECT l_orderkey, (r - 16 / 255e0) * 255 / 219 AS yy, (g - 128 / 255e0) * 255 / 224 AS pb, (b - 128 / 255e0) * 255 / 224 AS pr FROM px)
 SELECT l_orderkey, {R(c01('yy + 1.5748e0 * pr'))} AS r, {R(c01('yy - 0.1873e0 * pb - 0.4681e0 * pr'))} AS g, {R(c01('yy + 1.8556e0 * pb'))} AS b FROM q""")
 def ycbcr_rgb(spark, d):
-    return pixels(spark, d).select("l_orderkey", *rgb6(color.ycbcr_to_rgb(*RGB)))
+    return pixels(spark, d).select("l_orderkey", *rgb6(color.ycbcr_to_rgb(*RGB())))
 
 
 def sql_hash(x: str, y: str, seed: str) -> str:
@@ -263,17 +266,17 @@ def sql_hash(x: str, y: str, seed: str) -> str:
 @query(f"{PX} SELECT l_orderkey, x, y, {R(sql_hash('x', 'y', '7'))} AS noise, {', '.join(R(c01(f'{c} + ({sql_hash('x', 'y', '7')} - 0.5e0) * 0.2e0')) + f' AS {c}' for c in 'rgb')} FROM px")
 def noise_hash(spark, d):
     x, y = F.col("x"), F.col("y")
-    return pixels(spark, d).select("l_orderkey", "x", "y", r6(color.hash_noise(x, y, 7)).alias("noise"), *rgb6(color.noisy(RGB, x, y, 7, 20.0)))
+    return pixels(spark, d).select("l_orderkey", "x", "y", r6(color.hash_noise(x, y, 7)).alias("noise"), *rgb6(color.noisy(RGB(), x, y, 7, 20.0)))
 
 
 @query(f"{PX} SELECT l_orderkey, y, {', '.join(R(c01(f'{c} * (1 + ({sql_hash('y', '0', '7')} - 0.5e0) * 0.2e0)')) + f' AS {c}' for c in 'rgb')} FROM px")
 def grain_rows(spark, d):
-    return pixels(spark, d).select("l_orderkey", "y", *rgb6(color.grainy(RGB, F.col("y"), 7, 40.0)))
+    return pixels(spark, d).select("l_orderkey", "y", *rgb6(color.grainy(RGB(), F.col("y"), 7, 40.0)))
 
 
 @query(f"{PX} SELECT l_orderkey, {', '.join(f'CAST(round_even({c01(f'{c} * 0.9e0')} * 255, 0) AS INT) AS {c}' for c in 'rgb')} FROM px")
 def quantize8(spark, d):
-    return pixels(spark, d).select("l_orderkey", *[color.quantized(c * 0.9).alias(n) for c, n in zip(RGB, "rgb")])
+    return pixels(spark, d).select("l_orderkey", *[color.quantized(c * 0.9).alias(n) for c, n in zip(RGB(), "rgb")])
 
 
 N = 5
@@ -286,7 +289,7 @@ def _lut(spark: SparkSession) -> DataFrame:
 
 @query(f"SELECT CAST(a AS INT) AS ri, CAST(b AS INT) AS gi, CAST(c AS INT) AS bi, {R('a / 32e0')} AS r, {R('b / 32e0')} AS g, {R('c / 32e0')} AS b FROM range(33) x(a), range(33) y(b), range(33) z(c)")
 def lut_identity(spark, d):
-    return color.identity_lut(spark, 33).select("ri", "gi", "bi", *rgb6(RGB))
+    return color.identity_lut(spark, 33).select("ri", "gi", "bi", *rgb6(RGB()))
 
 
 def sql_square_lut(v: str) -> str:
@@ -300,7 +303,7 @@ def sql_square_lut(v: str) -> str:
 def lut_apply(spark, d):
     one = cube.as_array(_lut(spark))  # one row of N^3 entries
     p = pixels(spark, d).crossJoin(F.broadcast(one))
-    return p.select("l_orderkey", *rgb6(color.lut_sampled(RGB, F.col("lut"), N, 0.75)))
+    return p.select("l_orderkey", *rgb6(color.lut_sampled(RGB(), F.col("lut"), N, 0.75)))
 
 
 CUBE = ["# a comment", "TITLE \"t\"", "LUT_3D_SIZE 2", "", "domain_min 0 0 0", *[f"{r * 0.5} {g * 0.25} {b}" for b in (0, 1) for g in (0, 1) for r in (0, 1)]]
@@ -318,8 +321,8 @@ TRACKED = render.Look(contrast=1.2, saturation=0.8, tracks={"brightness": KEYS})
 @query(f"""{FR}, e AS (SELECT event_id, value / 500 AS r, 1 - value / 500 AS g, 0.5e0 AS b, pts AS t FROM fr), px AS (SELECT *, {SQL_TRACK} AS bright FROM e),
 {sql_grade('bright', '1.2e0', '0.8e0', '0e0')} SELECT event_id, {', '.join(f'{R(f'g{n}')} AS {n}' for n in 'rgb')} FROM g3""")
 def grade_tracks_apply(spark, d):
-    f = frames(spark, d).select("event_id", "pts", _U.alias("r"), (1 - _U).alias("g"), F.lit(0.5).alias("b"), F.lit(0).alias("x"), F.lit(0).alias("y"))
-    return render.render(f, TRACKED, F.lit(1), "pts").select("event_id", *rgb6(RGB))
+    f = frames(spark, d).select("event_id", "pts", _U().alias("r"), (1 - _U()).alias("g"), F.lit(0.5).alias("b"), F.lit(0).alias("x"), F.lit(0).alias("y"))
+    return render.render(f, TRACKED, F.lit(1), "pts").select("event_id", *rgb6(RGB()))
 
 
 # ---- names and settings
@@ -468,28 +471,35 @@ def trans_hold(spark, d):
     return held(spark, d).select("event_id", F.col("b.event_id").alias("b_id"), r6(F.col("progress")).alias("progress"))
 
 
-_A, _B, _P = F.col("value") / 500, F.col("b.value") / 500, F.col("progress")
-_UV = ((F.col("event_id") % 100 + 0.5) / 100, (F.col("event_id") % 37 + 0.5) / 37)
+def _pair() -> tuple[Column, Column, Column]:
+    """A, B and the progress."""
+    return F.col("value") / 500, F.col("b.value") / 500, F.col("progress")
+
+
+def _uv() -> tuple[Column, Column]:
+    return (F.col("event_id") % 100 + 0.5) / 100, (F.col("event_id") % 37 + 0.5) / 37
 
 
 @query(f"{TL} SELECT event_id, {R('value / 500 + (b_value - value) / 500 * progress')} AS mixed FROM hb WHERE kind_out = 'crossfade'")
 def trans_crossfade(spark, d):
-    return held(spark, d).filter("kind_out = 'crossfade'").select("event_id", r6(transitions.crossfade(_A, _B, _P)).alias("mixed"))
+    return held(spark, d).filter("kind_out = 'crossfade'").select("event_id", r6(transitions.crossfade(*_pair())).alias("mixed"))
 
 
 @query(f"""{TL}, w AS (SELECT *, 1 - (event_id % 37 + 0.5e0) / 37 AS s, -0.04e0 + 1.08e0 * progress AS edge FROM hb WHERE kind_out = 'wipeUp'),
 z AS (SELECT *, {c01('(s - (edge - 0.04e0)) / 0.08e0')} AS z FROM w)
 SELECT event_id, {R('1 - z * z * (3 - 2 * z)')} AS amount, {R('value / 500 + (b_value - value) / 500 * (1 - z * z * (3 - 2 * z))')} AS mixed FROM z""")
 def trans_wipe(spark, d):
-    m = transitions.wipe_amount(*_UV, 0, -1, _P)
-    return held(spark, d).filter("kind_out = 'wipeUp'").select("event_id", r6(m).alias("amount"), r6(color.mix(_A, _B, m)).alias("mixed"))
+    a, b, progress = _pair()
+    m = transitions.wipe_amount(*_uv(), 0, -1, progress)
+    return held(spark, d).filter("kind_out = 'wipeUp'").select("event_id", r6(m).alias("amount"), r6(color.mix(a, b, m)).alias("mixed"))
 
 
 @query(f"""{TL}, w AS (SELECT *, (event_id % 100 + 0.5e0) / 100 + (1 - progress) AS bu FROM hb WHERE kind_out = 'slideLeft')
 SELECT event_id, {R('bu')} AS bu, bu >= 0 AND bu <= 1 AS shows, {R('CASE WHEN bu >= 0 AND bu <= 1 THEN b_value ELSE value END / 500')} AS mixed FROM w""")
 def trans_slide(spark, d):
-    bu, _, shows = transitions.slide_source(*_UV, 1, 0, _P)
-    return held(spark, d).filter("kind_out = 'slideLeft'").select("event_id", r6(bu).alias("bu"), shows.alias("shows"), r6(F.when(shows, _B).otherwise(_A)).alias("mixed"))
+    a, b, progress = _pair()
+    bu, _, shows = transitions.slide_source(*_uv(), 1, 0, progress)
+    return held(spark, d).filter("kind_out = 'slideLeft'").select("event_id", r6(bu).alias("bu"), shows.alias("shows"), r6(F.when(shows, b).otherwise(a)).alias("mixed"))
 
 
 @query(f"""{TL}, a AS (SELECT event_id, greatest(CASE WHEN kind_out = 'dipToBlack' AND d_out > 0 AND pts > duration - d_out / 2 THEN (pts - (duration - d_out / 2)) / (d_out / 2) ELSE 0e0 END,
@@ -747,8 +757,8 @@ def frame_probe(spark, d):
 
 @query(f"{PX}, {SQL_LOOK}, e AS (SELECT avg(((gr - r) * (gr - r) + (gg - g) * (gg - g) + (gb - b) * (gb - b)) / 3) AS m FROM g3) SELECT {R('m')} AS mse, {R('10 * log10(1 / m)', 4)} AS psnr, CAST('Infinity' AS DOUBLE) AS same FROM e")
 def psnr(spark, d):
-    a = color.graded(RGB, 0.05, 1.1, 0.9, 0.3)
-    got = pixels(spark, d).agg(compare.mse(list(a), list(RGB)).alias("m"), compare.mse(list(RGB), list(RGB)).alias("z"))
+    a = color.graded(RGB(), 0.05, 1.1, 0.9, 0.3)
+    got = pixels(spark, d).agg(compare.mse(list(a), list(RGB())).alias("m"), compare.mse(list(RGB()), list(RGB())).alias("z"))
     return got.select(r6(F.col("m")).alias("mse"), r6(compare.psnr(F.col("m")), 4).alias("psnr"), compare.psnr(F.col("z")).alias("same"))
 
 
@@ -804,7 +814,10 @@ def progress_ratio(spark, d):
 # ---- whole pipelines
 
 FULL = render.Look(brightness=0.05, contrast=1.1, saturation=0.9, tint=0.3, noise=20.0, grain=40.0)
-_SEED = F.col("l_orderkey") % 97 + 1
+
+
+def _seed() -> Column:
+    return F.col("l_orderkey") % 97 + 1
 
 
 def _sql_effects(seed: str) -> str:
@@ -815,7 +828,7 @@ def _sql_effects(seed: str) -> str:
 
 @query(f"{PX}, {SQL_LOOK}, {_sql_effects('(l_orderkey % 97 + 1)')} SELECT l_orderkey, x, y, {', '.join(f'{R(f'k{c}')} AS {c}' for c in 'rgb')} FROM n2")
 def pipeline_main(spark, d):
-    return render.render(pixels(spark, d), FULL, _SEED).select("l_orderkey", "x", "y", *rgb6(RGB))
+    return render.render(pixels(spark, d), FULL, _seed()).select("l_orderkey", "x", "y", *rgb6(RGB()))
 
 
 @query(f"{PX}, {SQL_LOOK}, {_sql_effects('0')} SELECT l_orderkey, x, y, {', '.join(f'{R(f'k{c}')} AS {c}' for c in 'rgb')} FROM n2 WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem WHERE l_orderkey >= 100)")
@@ -823,14 +836,14 @@ def pipeline_probe(spark, d):
     """One frame with the seed of frame 0; the time filter reaches the scan."""
     p = pixels(spark, d).filter("l_orderkey >= 100")
     at = p.agg(F.min("l_orderkey").alias("l_orderkey"))
-    return render.render(p.join(F.broadcast(at), "l_orderkey", "left_semi"), FULL, F.lit(0)).select("l_orderkey", "x", "y", *rgb6(RGB))
+    return render.render(p.join(F.broadcast(at), "l_orderkey", "left_semi"), FULL, F.lit(0)).select("l_orderkey", "x", "y", *rgb6(RGB()))
 
 
 @query(f"{PX}, {SQL_LOOK} SELECT CAST(l_orderkey % 3 AS INT) AS chunk, l_orderkey, x, y, {', '.join(f'{R(f'g{c}')} AS {c}' for c in 'rgb')} FROM g3")
 def pipeline_chunk(spark, d):
     """Chunks keep only the grade; each pixel is independent, so chunked and whole renders are equal."""
     p = pixels(spark, d).withColumn("chunk", (F.col("l_orderkey") % 3).cast("int"))
-    return render.render(p, FULL.grade_only(), _SEED).select("chunk", "l_orderkey", "x", "y", *rgb6(RGB))
+    return render.render(p, FULL.grade_only(), _seed()).select("chunk", "l_orderkey", "x", "y", *rgb6(RGB()))
 
 
 @query(f"""{TL}, sh AS (SELECT em.*, hb.b_value, hb.progress FROM em LEFT JOIN hb USING (event_id)),
@@ -852,8 +865,8 @@ def pipeline_frame(spark, d):
     look = lambda v: render.main_pass((v, 1 - v, F.lit(0.5)), TRACKED, F.lit(0), F.lit(0), F.lit(1), F.col("out_pts"))
     dark = F.least(F.lit(1.0), transitions.dip(*(F.col(c) for c in ("pts", "duration", "kind_out", "d_out", "kind_in", "d_in"))))
     out = []
-    for a, bb, k in zip(look(_U), look(F.col("b_value") / 500), (0.9, 0.7, 0.1)):
-        mixed = F.when(F.col("progress").isNull(), a).otherwise(transitions.crossfade(a, bb, _P))
+    for a, bb, k in zip(look(_U()), look(F.col("b_value") / 500), (0.9, 0.7, 0.1)):
+        mixed = F.when(F.col("progress").isNull(), a).otherwise(transitions.crossfade(a, bb, F.col("progress")))
         over = composite.over(mixed, F.lit(k) * 0.5, F.lit(0.5), 0.4)
         out.append(composite.over(over, F.lit(0.0), F.lit(1.0), dark))
     return s.select("event_id", *rgb6(out))
