@@ -25,17 +25,22 @@ class Look:
     lut_mix: float = 0.0
     tracks: dict[str, list[Key]] = field(default_factory=dict)
 
-    def at(self, name: str, t: Column | None) -> Column | float:
-        return literal_track(t, self.tracks[name]) if t is not None and name in self.tracks else getattr(self, name)
+    def at(self, name: str, tracked: bool) -> Column | float:
+        return F.col(f"at_{name}") if tracked and name in self.tracks else getattr(self, name)
 
     def grade_only(self) -> Look:
         """What chunked renders keep."""
         return Look(self.brightness, self.contrast, self.saturation, self.tint)
 
 
-def main_pass(rgb: color.RGB, look: Look, x: Column, y: Column, seed: Column, t: Column | None = None, lut: Column | None = None, n: int = 33) -> color.RGB:
-    """Grade, lookup table, noise, grain: one expression, so one pass over the pixels."""
-    rgb = color.graded(rgb, *(look.at(c, t) for c in ("brightness", "contrast", "saturation", "tint")))
+def with_tracks(df: DataFrame, look: Look, t: Column) -> DataFrame:
+    """``df`` with ``at_<name>``, each track's value at ``t``: a column of its own, so it is worked out once per row."""
+    return df.withColumns({f"at_{name}": literal_track(t, keys) for name, keys in look.tracks.items()})
+
+
+def main_pass(rgb: color.RGB, look: Look, x: Column, y: Column, seed: Column, tracked: bool = False, lut: Column | None = None, n: int = 33) -> color.RGB:
+    """Grade, lookup table, noise, grain: one expression, so one pass over the pixels. ``tracked``: the rows come from with_tracks."""
+    rgb = color.graded(rgb, *(look.at(c, tracked) for c in ("brightness", "contrast", "saturation", "tint")))
     if lut is not None:
         rgb = color.lut_sampled(rgb, lut, n, look.lut_mix)
     rgb = color.noisy(rgb, x, y, seed, look.noise)
@@ -44,8 +49,9 @@ def main_pass(rgb: color.RGB, look: Look, x: Column, y: Column, seed: Column, t:
 
 def render(pixels: DataFrame, look: Look, seed: Column, t: str | None = None) -> DataFrame:
     """``pixels`` (x, y, r, g, b, ...) with r, g and b rendered."""
-    rgb = main_pass(tuple(F.col(c) for c in "rgb"), look, F.col("x"), F.col("y"), seed, F.col(t) if t else None)
-    return pixels.withColumns(dict(zip("rgb", rgb)))
+    tracked = with_tracks(pixels, look, F.col(t)) if t else pixels
+    rgb = main_pass(tuple(F.col(c) for c in "rgb"), look, F.col("x"), F.col("y"), seed, bool(t))
+    return tracked.withColumns(dict(zip("rgb", rgb))).select(*pixels.columns)
 
 
 def letterboxed(rgb: color.RGB, px: Column, py: Column, box) -> color.RGB:

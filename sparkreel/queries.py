@@ -861,8 +861,8 @@ def pipeline_frame(spark, d):
     """Frames end to end: placed, deduplicated, graded by tracks, blended (all overlaps as crossfades), overlaid, dipped to black."""
     p, f = placed(spark, d)
     b = timeline.blended(p, f, width=10.0).select("event_id", F.col("b.value").alias("b_value"), "progress")
-    s = timeline.emitted(p).join(b, "event_id", "left")
-    look = lambda v: render.main_pass((v, 1 - v, F.lit(0.5)), TRACKED, F.lit(0), F.lit(0), F.lit(1), F.col("out_pts"))
+    s = render.with_tracks(timeline.emitted(p).join(b, "event_id", "left"), TRACKED, F.col("out_pts"))
+    look = lambda v: render.main_pass((v, 1 - v, F.lit(0.5)), TRACKED, F.lit(0), F.lit(0), F.lit(1), True)
     dark = F.least(F.lit(1.0), transitions.dip(*(F.col(c) for c in ("pts", "duration", "kind_out", "d_out", "kind_in", "d_in"))))
     out = []
     for a, bb, k in zip(look(_U()), look(F.col("b_value") / 500), (0.9, 0.7, 0.1)):
