@@ -16,8 +16,8 @@ left to do.
 Exact copies are settled first by their hash. Documents travel only if they
 hold a repeated name; sampled suffixes travel with the bytes around them only
 in that case. Names that very many suffixes share do not meet in one task:
-beyond ``HOT`` their strings are spread by their own hash, each task keeping
-the first of each.
+beyond ``HOT`` all their strings count as repeats but the earliest of each, which
+partial minima find.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from .textnum import BYTE_CODE, mix, powers, prefix_hash, rounds
 
 _U = np.uint64
 GRAM = 32
-#: Suffixes of one name beyond which their strings are spread by their own hash.
+#: Suffixes of one name beyond which they are not compared in one task.
 HOT = 20_000
 #: Documents up to which their ids are broadcast (16 MB); beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
@@ -171,12 +172,12 @@ def _compare(length: int):
             if not b.num_rows:
                 continue
             name = b.column(0).to_numpy()
-            if rows and (held[-1].column(0)[-1].as_py() != name[0]) and rows >= 8192:
+            if rows and (held[-1].column(0)[-1].as_py() != name[0]) and rows >= 4096:
                 yield flush(pa.Table.from_batches(held))
                 held, rows = [], 0
             change = np.flatnonzero(name[1:] != name[:-1])
             cut = int(change[-1]) + 1 if len(change) else 0
-            if cut and rows + cut >= 8192:
+            if cut and rows + cut >= 4096:
                 yield flush(pa.Table.from_batches([*held, b.slice(0, cut)]))
                 held, rows = [b.slice(cut)], b.num_rows - cut
             else:
@@ -188,18 +189,20 @@ def _compare(length: int):
     return run
 
 
-def _spread_strings(length: int):
-    """(string, doc_id, h1, start) of every string around the samples of a hot name."""
+def _first_strings(length: int):
+    """(string, doc_id, h1, start): the earliest of each string among the samples of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 t = b.slice(lo, 4096)
-                name, at, first = (t.column(i).to_numpy() for i in (0, 3, 4))
+                name, doc_id, h1, at, first = (t.column(i).to_numpy() for i in range(5))
                 row, h = _string_names(name, at, first, t.column(5).to_pylist(), length)
-                start = np.searchsorted(row, np.arange(len(name)))
-                rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), t.column(1).take(rows), t.column(2).take(rows), pa.array(first[row] + np.arange(len(row)) - start[row])], ["string", "doc_id", "h1", "start"])
+                start = first[row] + np.arange(len(row)) - np.searchsorted(row, np.arange(len(name)))[row]
+                order = np.lexsort((start, h1[row], doc_id[row], h))
+                order = order[np.concatenate(([True], h[order[1:]] != h[order[:-1]]))]
+                r = row[order]
+                yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), pa.array(doc_id[r]), pa.array(h1[r]), pa.array(start[order])], ["string", "doc_id", "h1", "start"])
 
     return run
 
@@ -211,24 +214,23 @@ def _cut(length: int):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 t = b.slice(lo, 256)
+                runs = t.column(3).flatten()
+                start, many = runs.field("start").to_numpy(), runs.field("many").to_numpy()
+                cuts = np.concatenate(([0], np.cumsum(pc.list_value_length(t.column(3)).to_numpy())))
                 removed, spans, kept = [], [], []
-                for text, runs in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):
+                for text, i, j in zip(t.column(2).to_pylist(), cuts, cuts[1:]):
                     raw = (text or "").encode()
-                    parts, end, gone, n = [], 0, 0, 0
-                    for s, many in sorted((r["start"], r["many"]) for r in runs):
-                        e = s + many - 1 + length
-                        if s > end or not n:
-                            parts.append(raw[end:s])
-                            n += 1
-                            gone += e - s
-                            end = e
-                        elif e > end:
-                            gone += e - end
-                            end = e
-                    parts.append(raw[end:])
-                    removed.append(gone)
-                    spans.append(n)
-                    kept.append(b"".join(parts))
+                    s, n = start[i:j], many[i:j]
+                    first = s[n < 0]  # starts that the runs hold and that stay
+                    begin = np.sort(np.concatenate((s[n > 0], first + 1)))
+                    end = np.sort(np.concatenate(((s + n)[n > 0], first)))
+                    begin, end = begin[end > begin], end[end > begin] - 1 + length
+                    apart = np.flatnonzero(begin[1:] > end[:-1])
+                    s = begin[np.concatenate(([0], apart + 1))].tolist() if len(begin) else []
+                    e = end[np.append(apart, len(end) - 1)].tolist() if len(begin) else []
+                    removed.append(sum(e) - sum(s))
+                    spans.append(len(s))
+                    kept.append(b"".join(raw[p:q] for p, q in zip([0, *e], [*s, len(raw)])))
                 yield pa.RecordBatch.from_arrays(
                     [t.column(0), t.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
                     ["doc_id", "h1", "n_removed", "n_spans", "kept"],
@@ -278,10 +280,12 @@ def remove_repeats(df: DataFrame, length: int = 100, doc_id: str = "doc_id", tex
         cool = around.join(hot_names, "name", "left_anti").select(*around.columns)
     runs = cool.repartition("name").sortWithinPartitions("name", "doc_id", "h1", "at").mapInArrow(_compare(length), "doc_id bigint, h1 bigint, start bigint, many bigint")
     if not hot_names.isEmpty():
-        strings = around.join(hot_names, "name", "left_semi").select(*around.columns).mapInArrow(_spread_strings(length), "string bigint, doc_id bigint, h1 bigint, start bigint")
-        here = F.struct("doc_id", "h1", "start")
-        earliest = strings.groupBy("string").agg(F.min(here).alias("earliest"), F.max(here).alias("latest")).filter("earliest < latest")
-        runs = runs.unionByName(strings.join(earliest, "string").filter(here > F.col("earliest")).select("doc_id", "h1", "start", F.lit(1).cast("bigint").alias("many")))
+        warm = around.join(hot_names, "name", "left_semi").select(*around.columns)
+        # every string of a hot name repeats, but for the earliest of each, which many = -1 marks
+        strings = warm.mapInArrow(_first_strings(length), "string bigint, doc_id bigint, h1 bigint, start bigint")
+        earliest = strings.groupBy("string").agg(F.min(F.struct("doc_id", "h1", "start")).alias("s"))
+        runs = runs.unionByName(warm.select("doc_id", "h1", F.col("first").alias("start"), (F.octet_length("around") - length + 1).cast("bigint").alias("many")))
+        runs = runs.unionByName(earliest.select("s.*", F.lit(-1).cast("bigint").alias("many")))
     runs = staged(runs, "runs")
     by_doc = runs.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("start", "many")).alias("runs"))
     cut = _narrow(sampled, runs.select("doc_id").distinct()).join(by_doc, ["doc_id", "h1"]).select("doc_id", "h1", "text", "runs")

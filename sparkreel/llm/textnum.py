@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one round of vector operations takes; a longer text is a round of its own.
-ROUND = 1 << 21
+ROUND = 1 << 19
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
