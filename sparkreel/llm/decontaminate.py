@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches, with_fields
 from .textnum import mix, rounds, words
 
 _U = np.uint64
@@ -157,10 +158,11 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", window: int =
     must not have a column ``leaks``.
     """
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("item_id", "start", "words", "matched")]))
+    small_batches(df.sparkSession)
     out = df.withColumn("leaks", F.array().cast(LEAK))
     names = out.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    schema = with_fields(out.schema, __leaks=LEAK)
     for block in benchmark_blocks(benchmark):
-        found = out.mapInArrow(_leaks(block, names.index(text), names, kind, window, share), f"{schema}, __leaks {LEAK}")
+        found = out.mapInArrow(_leaks(block, names.index(text), names, kind, window, share), schema)
         out = found.withColumn("leaks", F.concat("leaks", "__leaks")).drop("__leaks")
     return out

@@ -43,10 +43,35 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(_table(spark, sf_dir, "documents"), jaccard_join.Rule(k=3, num=90))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l1 AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+l AS (SELECT a, b FROM l1 UNION ALL SELECT b, a FROM l1),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a)
+SELECT id AS doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = id GROUP BY id
+"""
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.9)
 
 
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a)
+SELECT id AS vec_id, any_value(coalesce(n, 0)) AS n_links, min(c) AS component_id, id = min(c) AS kept FROM r LEFT JOIN k ON k.a = id GROUP BY id
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the benchmark items that it leaks."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -102,9 +127,7 @@ def _vocabulary(name: str) -> str:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    path = _vocabulary("piece_bpe_32k.model")
-    ids = sentencepiece_sa.encode(docs, path, keep=("doc_id", "text"))
-    out = sentencepiece_sa.decode(ids, path)
+    out = sentencepiece_sa.encode(docs, _vocabulary("piece_bpe_32k.model"), keep=("doc_id", "text"), decoded=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_ids"),
@@ -151,4 +174,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL}
+ORACLES: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op6_chat_format": OP6_SQL}

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches, with_fields
+
 #: The kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "linked", "endpoint")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -117,10 +119,10 @@ def scan_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
                 cols = [part.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(base, kind), pa.array(every, kind)], [*keep, "base", "spans"])
 
+    small_batches(df.sparkSession)
     src = df.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[:-1])
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return src.mapInArrow(run, f"{kinds}, base {span}, spans {span}")
+    return src.mapInArrow(run, with_fields(src.schema[:-1], base=span, spans=span))
 
 
 def spans_text(spans) -> F.Column:

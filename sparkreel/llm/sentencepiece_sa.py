@@ -1,10 +1,10 @@
 """SentencePiece BPE encoding and decoding by suffix-array matching.
 
 Method: the texts of a batch are cut where no piece can reach across (before
-a run of spaces), the distinct segments are concatenated and indexed by a
+a run of spaces, around a character that no piece has), the distinct segments are concatenated and indexed by a
 suffix array, each piece's occurrences are found as one range by binary search,
-the occurrences become edges sorted by end position, and relaxing the edges in
-that order gives the encoding: an edge is taken if the merges keep its piece
+the occurrences become edges sorted by end position in their segment, and relaxing
+the edges in that order, all segments at once, gives the encoding: an edge is taken if the merges keep its piece
 apart from the piece before it, which holds for exactly one edge per position.
 (Plain shortest paths over scores would give another segmentation than BPE's
 merge order, so the relaxation tests pairs in place of adding scores.)
@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Idle, small_batches, with_fields
+
 SPACE = "▁"
 #: Segments that a worker remembers before it starts afresh, and characters that are indexed at once.
-MEMORY = 600_000
-INDEXED = 1 << 20
-_PAIR_MEMORY = 2_000_000
+MEMORY = 500_000
+INDEXED = 1 << 17
+_PAIR_MEMORY = 4_000_000
 _open: dict[str, PieceModel] = {}
 
 
@@ -71,9 +73,25 @@ class PieceModel:
         self.pieces = np.array(sorted(self.ids))  # numpy sorts text by code point, as the suffix array does
         self.piece_len = np.char.str_len(self.pieces).astype(np.int64)
         self.piece_list = self.pieces.tolist()
-        self.whole = {p: self.merged(p) == [p] for p in self.ids}
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.pieces_end = np.char.add(self.pieces, "\U0010ffff")
+        self.piece_ids = np.array([self.ids[p] for p in self.piece_list])
+        self.whole = np.array([self.merged(p) == [p] for p in self.piece_list])
+        # ASCII characters that no piece has: nothing merges across them, so segments end there
+        alone = [c for c in map(chr, range(128)) if not any(c in p for p in self.ids)]
+        self.lone = {c: np.array(self.fallback(c), "<i4").tobytes() for c in alone}
+        self.known: dict[str, bytes]
+        self.forget()
+        self.idle = Idle(self.forget)
+        stop = SPACE + "".join(map(re.escape, alone))
+        self.segment = re.compile(f"{SPACE}+[^{stop}]*|[^{stop}]+" + (f"|[{stop[1:]}]" if alone else ""))
+        # what ids stand for by themselves: all but bytes beyond ASCII
+        self.plain_text = {i: "" if i in self.special else self.names[i] for i in range(n) if i not in self.byte_of}
+        self.plain_text |= {i: chr(b) for i, b in self.byte_of.items() if b < 128}
+
+    def forget(self) -> None:
+        self.known = dict(self.lone)
+        self.pair, self.pair_ok = np.array([-1]), np.array([False])
+        self.last = np.zeros(0, np.int64)
 
     def merged(self, text: str) -> list[str]:
         """The merges of the model on a short text."""
@@ -85,11 +103,22 @@ class PieceModel:
             parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
         return parts
 
-    def keeps_apart(self, a: str, b: str) -> bool:
-        if len(self.apart) > _PAIR_MEMORY:
-            self.apart.clear()
-        out = self.apart[a, b] = self.merged(a + b) == [a, b]
-        return out
+    def keeps_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the merges turn a pair of pieces, joined, into just these two. Each pair is worked out once."""
+        key = left * len(self.piece_list) + right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        new = np.unique(key[self.pair[at] != key])
+        if len(new):
+            names = self.piece_list
+            ok = []
+            for a, b in zip(*(x.tolist() for x in np.divmod(new, len(names)))):
+                ok.append(self.merged(names[a] + names[b]) == [names[a], names[b]])
+            old = slice(0, 1 if len(self.pair) > _PAIR_MEMORY else None)
+            pair = np.concatenate((self.pair[old], new))
+            order = np.argsort(pair, kind="stable")
+            self.pair, self.pair_ok = pair[order], np.concatenate((self.pair_ok[old], np.array(ok)))[order]
+            return self.keeps_apart(left, right) if old.stop else self.pair_ok[np.searchsorted(self.pair, key)]
+        return self.pair_ok[at]
 
     def fallback(self, char: str) -> list[int]:
         """Ids of a character that no piece has: its bytes, or the unknown id."""
@@ -101,97 +130,105 @@ class PieceModel:
             return
         text = "\0".join(segments) + "\0"
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        n, w = len(codes), self.longest
+        w = self.longest
         order = suffix_array(codes, w)
         view = np.lib.stride_tricks.sliding_window_view(np.concatenate((codes, np.zeros(w, np.uint32))), w)
-        suffixes = np.ascontiguousarray(view[order]).view(f"<U{w}").ravel()
+        suffixes = view[order].view(f"<U{w}").ravel()
         lo = np.searchsorted(suffixes, self.pieces)
-        hi = np.searchsorted(suffixes, np.char.add(self.pieces, "\U0010ffff"))
+        hi = np.searchsorted(suffixes, self.pieces_end)
         many = hi - lo
         which = np.repeat(np.arange(len(many)), many)
-        starts = order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
-        ends = starts + self.piece_len[which]
-        by_end = np.lexsort((starts, ends))
-        self.relax(text, starts[by_end].tolist(), ends[by_end].tolist(), which[by_end].tolist(), segments, n)
-
-    def relax(self, text: str, starts: list[int], ends: list[int], which: list[int], segments: list[str], n: int) -> None:
-        names, ids, apart, whole = self.piece_list, self.ids, self.apart, self.whole
-        last: list[str | None] = [None] * (n + 1)  # the last piece of the prefix that ends here, "" before the first
-        edge, edges, at = 0, len(ends), 0
-        for segment in segments:
-            first, end = at, at + len(segment)
-            last[first] = ""
-            for i in range(first + 1, end + 1):
-                while edge < edges and ends[edge] < i:
-                    edge += 1
-                while edge < edges and ends[edge] == i:
-                    s, p = starts[edge], names[which[edge]]
-                    edge += 1
-                    before = last[s]
-                    if before == "":
-                        ok = whole[p]
-                    else:
-                        ok = apart.get((before, p))
-                        if ok is None:
-                            ok = self.keeps_apart(before, p)
-                    if ok:
-                        last[i] = p
-                        break
-                else:
-                    last[i] = text[i - 1]  # a character that is no piece: nothing merges with it
-            out: list[int] = []
-            i = end
-            while i > first:
-                p = last[i]
-                got = ids.get(p)
-                if got is None:
-                    out += self.fallback(p)[::-1]
-                else:
-                    out.append(got)
-                i -= len(p)
-            self.known[segment] = tuple(out[::-1])
-            at = end + 1
+        starts = order[np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+        self.relax(codes, starts, which)
+        size = np.array(list(map(len, segments)))
+        self.collect(segments, np.cumsum(size + 1) - size - 1, size)
+
+    def relax(self, codes: np.ndarray, starts: np.ndarray, which: np.ndarray) -> None:
+        """Settle the last piece of every prefix of every segment, all segments at once, by length of the prefix.
+
+        An edge into a prefix is taken if its piece stays apart from the last piece of the prefix it starts from.
+        ``last`` holds pieces; ``first`` marks an empty prefix and ``lone`` a character that no piece has.
+        """
+        n, first, lone = len(codes), len(self.piece_list), len(self.piece_list) + 1
+        stop = np.flatnonzero(codes == 0)
+        begin = np.concatenate(([0], stop[:-1] + 1))
+        size = stop - begin
+        local = starts - np.repeat(begin, size + 1)[starts] + self.piece_len[which]
+        by_end = np.argsort(local.astype(np.uint16) if size.max() < 1 << 16 else local, kind="stable")
+        starts, which = starts[by_end], which[by_end]
+        cut = np.searchsorted(local[by_end], np.arange(size.max() + 2))
+        last = self.last = np.full(n + 1, -1, np.int64)
+        last[begin] = first
+        by_size = np.argsort(-size, kind="stable")
+        longer = np.searchsorted(-size[by_size], -np.arange(size.max() + 1), side="right")
+        for i in range(1, size.max() + 1):
+            s, p = starts[cut[i] : cut[i + 1]], which[cut[i] : cut[i + 1]]
+            before = last[s]
+            ok = np.where(before == first, self.whole[p], before == lone)
+            pair = np.flatnonzero(before < first)
+            if len(pair):
+                ok[pair] = self.keeps_apart(before[pair], p[pair])
+            last[s[ok] + self.piece_len[p[ok]]] = p[ok]
+            ends = begin[by_size[: longer[i]]] + i
+            last[ends[last[ends] < 0]] = lone
+
+    def collect(self, segments: list[str], begin: np.ndarray, size: np.ndarray) -> None:
+        """Walk back from the end of every segment at once and remember the ids as bytes."""
+        lone = len(self.piece_list) + 1
+        where, owner = begin + size, np.arange(len(segments))
+        steps = []
+        while len(owner):
+            p = self.last[where]
+            steps.append((owner, p, where))
+            where = where - np.where(p == lone, 1, self.piece_len[np.minimum(p, lone - 2)])
+            more = where > begin[owner]
+            owner, where = owner[more], where[more]
+        owner, piece, where = (np.concatenate(x[::-1]) for x in zip(*steps))
+        order = np.argsort(owner, kind="stable")
+        owner, piece, where = owner[order], piece[order], where[order]
+        raw = self.piece_ids[np.minimum(piece, lone - 2)].astype("<i4").tobytes()
+        cut = np.searchsorted(owner, np.arange(len(segments) + 1)).tolist()
+        odd = set(owner[piece == lone].tolist())
+        for k, segment in enumerate(segments):
+            lo, hi = cut[k], cut[k + 1]
+            if k in odd:
+                ids = []
+                for i in range(lo, hi):
+                    ids += self.fallback(segment[where[i] - begin[k] - 1]) if piece[i] == lone else [int(self.piece_ids[piece[i]])]
+                self.known[segment] = np.array(ids, "<i4").tobytes()
+            else:
+                self.known[segment] = raw[4 * lo : 4 * hi]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts, without begin and end."""
-        cut = [_SEGMENT.findall(self.normalize(t)) if t else [] for t in texts]
+        return [np.frombuffer(x, "<i4").tolist() for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as 32-bit integers."""
+        cut = [self.segment.findall(self.normalize(t)) if t else [] for t in texts]
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        new, size, seen = [], 0, set()
-        for segments in cut:
-            for s in segments:
-                if s not in known and s not in seen:
-                    if "\0" in s:  # the separator of the index: such a segment is an index of its own parts
-                        self.split_nul(s)
-                        continue
-                    seen.add(s)
-                    new.append(s)
-                    size += len(s) + 1
-                    if size > INDEXED:
-                        self.learn(new)
-                        new, size, seen = [], 0, set()
+            known.update(self.lone)
+        new, size = [], 0
+        for s in sorted(set().union(*cut).difference(known)):
+            new.append(s)
+            size += len(s) + 1
+            if size > INDEXED:
+                self.learn(new)
+                new, size = [], 0
         self.learn(new)
-        out = []
-        for segments in cut:
-            ids: list[int] = []
-            for got in map(known.__getitem__, segments):
-                ids += got
-            out.append(ids)
-        return out
-
-    def split_nul(self, segment: str) -> None:
-        """No piece has a NUL, so nothing merges across one."""
-        parts = segment.split("\0")
-        self.learn([p for p in dict.fromkeys(parts) if p and p not in self.known])
-        nul = tuple(self.fallback("\0"))
-        out = self.known.get(parts[0], ())
-        for p in parts[1:]:
-            out += nul + self.known.get(p, ())
-        self.known[segment] = out
+        return [b"".join(map(known.__getitem__, segments)) for segments in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: a space for each space mark but the leading one, bytes joined, wrong UTF-8 replaced."""
+        try:
+            text = "".join(map(self.plain_text.__getitem__, ids)).replace(SPACE, " ")
+        except KeyError:  # bytes beyond ASCII join their neighbours
+            text = self.with_bytes(ids).replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
+
+    def with_bytes(self, ids: list[int]) -> str:
         out: list[str] = []
         raw = bytearray()
         for i in ids:
@@ -202,15 +239,10 @@ class PieceModel:
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            if i not in self.special:
-                out.append(self.names[i])
+            out.append(self.plain_text[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
-
-
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        return "".join(out)
 
 
 def model(path: str) -> PieceModel:
@@ -220,30 +252,41 @@ def model(path: str) -> PieceModel:
     return _open[path]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """``keep`` columns and ``ids``, an array of the ids of the whole text as the library gives them.
 
+    With ``decoded`` also the text that the ids decode to, in the same pass over the data.
+
     One row per input row, repeated rows included. Null and empty texts have no ids. Columns not kept are not
     read, so their names cannot clash; ``ids`` must not be kept. ``path`` must exist on every executor.
     """
+    names = [*keep, "ids", *["decoded"] * decoded]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        with model(path).idle:
+            yield from work(model(path), batches)
+
+    def work(m: PieceModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                got = m.encode(part.column(len(keep)).to_pylist())
-                offsets = np.cumsum([0, *map(len, got)]).astype(np.int32)
-                flat = np.fromiter((i for ids in got for i in ids), np.int32, offsets[-1])
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                got = m.encode_bytes(part.column(len(keep)).to_pylist())
+                offsets = (np.cumsum([0, *map(len, got)]) // 4).astype(np.int32)
+                flat = np.frombuffer(b"".join(got), np.int32)
                 cols = [part.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*keep, "ids"])
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+                if decoded:
+                    cols.append(pa.array([m.decode(np.frombuffer(x, "<i4").tolist()) for x in got], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
+    small_batches(df.sparkSession)
     src = df.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema[:-1])
-    return src.mapInArrow(run, f"{kinds}ids array<int>")
+    return src.mapInArrow(run, with_fields(src.schema[:-1], ids="array<int>", **{"decoded": "string"} if decoded else {}))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the text of ``ids``; null ids give an empty text."""
+    small_batches(df.sparkSession)
     names = df.columns
     at = names.index(ids)
 
@@ -253,5 +296,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = pa.array([m.decode(x) if x else "" for x in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], [*names, "decoded"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kinds}, decoded string")
+    return df.mapInArrow(run, with_fields(df.schema, decoded="string"))

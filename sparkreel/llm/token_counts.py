@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from .shared import Idle, small_batches, with_fields
+
 #: Pre-tokens that a worker remembers before it starts afresh.
 MEMORY = 1_200_000
 _PAIR_MEMORY = 2_000_000
@@ -59,6 +61,12 @@ class PrefixCounter:
         self.known: dict[str, tuple[int, bytes]] = {}
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         self.row: tuple[bytes, list[bytes], list[int]] = (b"", [b""], [0])
+        self.idle = Idle(self.forget)
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.apart.clear()
+        self.row = b"", [b""], [0]
 
     def as_letters(self, raw: bytes) -> str:
         return "".join(map(self.letters.__getitem__, raw))
@@ -186,7 +194,10 @@ def prefix_token_counts(df: DataFrame, path: str, pattern: str, text: str = "tex
     whatever their names, are not read. ``path`` must exist on every executor.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path, pattern)
+        with counter(path, pattern).idle:
+            yield from work(counter(path, pattern), batches)
+
+    def work(c: PrefixCounter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
@@ -197,9 +208,9 @@ def prefix_token_counts(df: DataFrame, path: str, pattern: str, text: str = "tex
                     [*keep, "n_tokens", "changes"],
                 )
 
+    small_batches(df.sparkSession)
     src = df.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[:-1])
-    return src.mapInArrow(run, f"{kinds}, n_tokens bigint, changes binary")
+    return src.mapInArrow(run, with_fields(src.schema[:-1], n_tokens="bigint", changes="binary"))
 
 
 @F.pandas_udf(LongType())
