@@ -154,12 +154,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id
         pivots[s["n"] // 8] = _unit([bytes(r["raw"]) for r in got])
         left -= len(got)
     member = distinct.select("rep", "many", "raw").mapInArrow(_cells(pivots, float(np.sqrt(max(2 - 2 * threshold, 0)))), "rep bigint, many bigint, raw binary, cell int, home boolean")
-    member = staged(member, "cells")
-    plan = member.groupBy("cell").agg(F.count_if("home").alias("n_home"), F.count("*").alias("n_member"))
+    cells = staged(member, "cells")
+    plan = cells.groupBy("cell").agg(F.count_if("home").alias("n_home"), F.count("*").alias("n_member"))
     blocks = F.broadcast(plan.select(  # one row per pivot
         "cell", F.ceil(F.col("n_home") / HOME_BLOCK).cast("int").alias("hb"), F.ceil(F.col("n_member") / MEMBER_BLOCK).cast("int").alias("mb"),
     ))
-    member = member.join(blocks, "cell").withColumns({"hb": F.greatest("hb", F.lit(1)), "mb": F.greatest("mb", F.lit(1))})
+    member = cells.join(blocks, "cell").withColumns({"hb": F.greatest("hb", F.lit(1)), "mb": F.greatest("mb", F.lit(1))})
     spot = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
     count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     unit = lambda i, j: F.concat_ws(".", "cell", i, j)
@@ -169,9 +169,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id
     found = staged(units.mapInArrow(_join(threshold), "a bigint, b bigint, links bigint"), "found")
     direct = found.filter("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     label = components(found.filter("links = 0").select("a", "b"))
-    for x in (member,):
-        if hasattr(x, "_staged_path"):
-            dropped(x)
+    dropped(cells)
     groups = staged(
         distinct.select("k1", "k2", "rep", "many").join(direct, "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
         .select("k1", "k2", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")),
