@@ -16,11 +16,16 @@ from sparkreel.llm.queries import training_labels
 from sparkreel.llm.shared import staged
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """``doc``, a whole row, and its ``text``: whatever the columns are called, none clashes with an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fitted ranking scores at the cut or above."""
     ranking = quality_rank.fit(docs, training_labels(spark, sf_dir))
-    scored = quality_rank.score(docs, ranking, keep=tuple(docs.columns))
-    return scored.filter(F.col("score") >= quality_rank.CUT_SCORE).select(*docs.columns)
+    scored = quality_rank.score(carried(docs), ranking, keep=("doc",))
+    return scored.filter(F.col("score") >= quality_rank.CUT_SCORE).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,35 +33,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = staged(jaccard_join.groups(docs, jaccard_join.Rule(k=5, num=80)), "groups")
     others = found.filter("component_id <> doc_id").select("doc_id")
     small = others.count() <= jaccard_join.BROADCAST_IDS
-    kept = docs.join(F.broadcast(others) if small else others, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(F.broadcast(others) if small else others, "doc_id", "left_anti")
     repeated = not found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+    found = decontaminate.leaks(carried(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(F.size("leaks") == 0).select("doc.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret in their texts replaced by a mask; ``n_chars`` follows the text."""
-    found = secret_scan.scan_secrets(docs, keep=tuple(docs.columns))
-    masked = secret_scan.redacted(found)
+    masked = secret_scan.redacted(secret_scan.scan_secrets(carried(docs), keep=("doc", "text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return masked.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as SentencePiece ids, with whether the ids decode to the text."""
+    """All documents as SentencePiece ids, with whether the ids decode to the text. Columns of these names in ``docs`` give way."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    out = sentencepiece_sa.decode(sentencepiece_sa.encode(docs, path, keep=tuple(docs.columns)), path)
-    text = F.coalesce("text", F.lit(""))
-    same = F.col("decoded") == F.replace(text, F.lit(sentencepiece_sa.SPACE), F.lit(" "))
-    return out.select(*[c for c in docs.columns if c != "text"], F.size("ids").alias("n_ids"), "ids", same.alias("round_trip"))
+    out = sentencepiece_sa.encode(carried(docs), path, keep=("doc", "text"), decoded=True)
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece_sa.SPACE), F.lit(" "))
+    new = {"n_ids": F.size("ids"), "ids": F.col("ids"), "round_trip": same}
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c != "text" and c not in new], *[v.alias(c) for c, v in new.items()])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

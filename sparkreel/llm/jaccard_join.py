@@ -1,10 +1,11 @@
 """N-gram Jaccard join with set-relation skipping, and its groups.
 
 Method. A document is the set of its distinct word shingles. Index lists: the
-universe of shingles is cut into as many positions as two linked sets can
-differ in, plus one, so linked sets agree in at least one whole position; a
-list holds the sets of one size block that agree in one position, and all
-other blocks and positions are skipped unread. Answers are then derived
+universe of shingles is cut into more positions than two linked sets can
+differ in, so linked sets agree in several whole positions; a list holds the
+sets of one size block that agree in one position. All other blocks and
+positions are skipped unread, and so are positions with so few shingles that a linked
+pair must also agree in a fuller one. Answers are then derived
 from those of a similar set: in each list the least set is the pivot, every other
 member is compared with it once and kept as its difference from the
 pivot, and the links among members follow from the differences alone, as
@@ -34,7 +35,9 @@ _U = np.uint64
 #: Members of a pivot that one block holds, and members that one task compares with a pivot.
 BLOCK = 512
 STAR = 512
-#: Candidate documents up to which their ids are broadcast (8 MB); beyond, the texts are joined by a shuffle.
+#: Pairs of pivots and members up to which the units of documents are broadcast (16 MB); beyond, the texts are joined by a shuffle.
+BROADCAST_PAIRS = 1 << 19
+#: Ids of documents up to which they are broadcast (8 MB).
 BROADCAST_IDS = 1 << 20
 
 
@@ -57,9 +60,14 @@ class Rule:
             out.append(max(out[-1] + 1, out[-1] * self.den // self.num))
         return np.array(out)
 
-    def positions(self, largest: np.ndarray) -> np.ndarray:
-        """Positions for pairs whose smaller set has at most so many shingles: one more than such a pair can differ in."""
-        return (self.den - self.num) * (largest * self.den // self.num) // self.den + 1
+    def differ(self, largest: np.ndarray) -> np.ndarray:
+        """In how many shingles a linked pair can differ whose smaller set has at most so many."""
+        return (self.den - self.num) * (largest * self.den // self.num) // self.den
+
+    @staticmethod
+    def positions(differ: np.ndarray) -> np.ndarray:
+        """Positions for such pairs: more than they can differ in, so linked sets agree in positions - differ at least."""
+        return differ + 1 + -(-differ // 3)
 
 
 def sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,20 +124,38 @@ def _lists(rule: Rule):
                 spread, code = mix(s ^ _U(0x2545F4914F6CDD1D)) >> _U(32), mix(s)
                 for down in (0, 1):
                     cls = block - down
-                    parts = np.where((n > 0) & (cls >= 0), rule.positions(top[np.maximum(cls, 0)]), 0)
+                    differ = rule.differ(top[np.maximum(cls, 0)])
+                    parts = np.where((n > 0) & (cls >= 0), rule.positions(differ), 0)
                     base = np.concatenate(([0], np.cumsum(parts)))
                     inside = parts[row] > 0
                     r = row[inside]
                     slot = base[r] + ((spread[inside] * parts[r].astype(_U)) >> _U(32)).astype(np.int64)
                     total = np.zeros(base[-1], _U)
                     np.add.at(total, slot, code[inside])
+                    size = np.bincount(slot, minlength=base[-1])
                     owner = np.repeat(np.arange(hi - lo), parts)
-                    name = mix(total + mix((cls[owner].astype(_U) << _U(32)) + (np.arange(base[-1]) - base[owner]).astype(_U)))
+                    least = _least_sizes(size, owner, parts - differ)
+                    keep = np.flatnonzero(size >= least[owner])
+                    owner = owner[keep]
+                    name = mix(total[keep] + mix((cls[owner].astype(_U) << _U(32)) + (keep - base[owner]).astype(_U)))
                     yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(key[owner])], ["list", "key"])
 
     return run
 
 
+def _least_sizes(size: np.ndarray, owner: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """For each set, the largest m (up to 6) of which fewer of its positions than ``agree`` hold less than m shingles.
+
+    A linked pair agrees in ``agree`` positions or more. Take the larger m of the two: fewer of that set's positions than
+    that are below m, so the pair agrees in one that both sets list.
+    """
+    least = np.zeros(len(agree), np.int64)
+    for m in range(1, 7):
+        below = np.bincount(owner[size < m], minlength=len(agree))
+        least[(below < agree) & (least == m - 1)] = m
+    return least
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists, sorted, as distinct (pivot, member): the first of each list with each other one."""
     name = pivot = None
@@ -149,13 +175,23 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(rule: Rule):
+    """(unit, side, pivot, key, shingles): the set of each document for every unit of work that it is in."""
+    names = ["unit", "side", "pivot", "key", "shingles"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offs in rounds(b.column(1)):
                 row, s = sets(data, offs, rule.k)
+                _, digest = _digest(row, s, hi - lo)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                raw = [s[i:j].tobytes() for i, j in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(raw, pa.binary())], ["key", "shingles"])
+                out = []
+                for i, (key, units) in enumerate(zip(b.column(0).slice(lo, hi - lo).to_pylist(), b.column(2).slice(lo, hi - lo).to_pylist())):
+                    if digest[i] == key:  # else another text of that id
+                        raw = s[cut[i] : cut[i + 1]].tobytes()
+                        out += [(u["unit"], u["side"], u["pivot"], key, raw) for u in units]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     return run
 
@@ -247,24 +283,18 @@ def groups(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text"
     lists = lists.repartition("list").sortWithinPartitions("list", "key")
     stars = staged(lists.mapInArrow(_stars, "pivot bigint, key bigint").distinct(), "stars")
 
-    wanted = stars.select("key").union(stars.select(F.col("pivot").alias("key"))).distinct()
-    reps = staged(known.filter("doc_id is not null").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "reps")
-    small = reps.count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(reps) if small else reps, "doc_id").select("key", "text")
-    held = staged(found.mapInArrow(_set_rows(rule), "key bigint, shingles binary").dropDuplicates(["key"]), "held")
-
     spread = stars.groupBy("pivot").agg(F.count("*").alias("members")).withColumn("salts", F.ceil(F.col("members") / STAR).cast("int"))
     spread = staged(spread, "spread")
-    centre = (
-        spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(held, spread["pivot"] == held["key"])
-        .select("salt", F.lit(0).alias("side"), "pivot", "key", "shingles")
-    )
-    member = (
-        stars.join(spread, "pivot").withColumn("salt", _spot("key", F.col("salts"), 1)).join(held, "key")
-        .select("salt", F.lit(1).alias("side"), "pivot", "key", "shingles")
-    )
-    units = centre.unionByName(member).withColumn("unit", F.xxhash64("pivot", "salt"))
-    units = units.repartition("unit").sortWithinPartitions("unit", "pivot", "side").select("unit", "side", "pivot", "key", "shingles")
+    unit = F.struct(F.xxhash64("pivot", "salt").alias("unit"), F.col("side"), F.col("pivot"))
+    centre = spread.select(F.col("pivot").alias("key"), "pivot", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    member = stars.join(spread, "pivot").select("key", "pivot", F.lit(1).alias("side"), _spot("key", F.col("salts"), 1).alias("salt"))
+    wanted = centre.unionByName(member).groupBy("key").agg(F.collect_list(unit).alias("units"))
+    reps = known.filter("doc_id is not null").join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    wanted = staged(reps.join(wanted, "key"), "wanted")
+    small = stars.count() <= BROADCAST_PAIRS
+    found = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("key", "text", "units")
+    units = found.mapInArrow(_set_rows(rule), "unit bigint, side int, pivot bigint, key bigint, shingles binary")
+    units = units.repartition("unit").sortWithinPartitions("unit", "pivot", "side")
     near = staged(units.mapInArrow(_differences(rule), "pivot bigint, key bigint, n bigint, differ binary, linked boolean"), "near")
 
     many = spread.filter("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
@@ -273,6 +303,7 @@ def groups(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text"
     rest = rest.select(F.xxhash64("pivot", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "key", "n", "differ")
     rest = rest.repartition("unit").sortWithinPartitions("unit")
     links = near.filter("linked").select(F.col("pivot").alias("a"), F.col("key").alias("b")).unionByName(rest.mapInArrow(_answers(rule), "a bigint, b bigint"))
+    links = staged(links, "links")
     label = components(links)
 
     all_sets = known.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("id", "key"), "key", "left")
@@ -280,7 +311,6 @@ def groups(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text"
     least = all_sets.groupBy("component").agg(F.min("least").alias("component_id"))
     by_key = all_sets.join(least, "component").select("key", "component_id")
     out = known.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    for x in (stars, reps, held, near):
-        if x is not near:
-            dropped(x)
+    for x in (stars, wanted, spread, near, links):
+        dropped(x)
     return out

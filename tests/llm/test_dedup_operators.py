@@ -236,3 +236,22 @@ def test_pipeline(spark):
     last = pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in last} == {r["doc_id"] for r in kept.collect()} and all(r["round_trip"] and r["n_ids"] == len(r["ids"]) for r in last)
     assert decontaminate.WINDOW == 13
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, spans int, base int, leaks int, ids string, decoded int, key int, doc int, `a b` int"
+    texts = [None, "", "the same words here again " * 4, "the same words here again " * 4, "x" * 300_000, "password = hunter22hunter22 and more"]
+    rows = [(i if i else None, t, "en", "s", 1, "c", 1, 1, 1, "c", 1, 1, 1, 1) for i, t in enumerate(texts)] + [(2, texts[2], "en", "s", 1, "c", 1, 1, 1, "c", 1, 1, 1, 1)]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, columns)
+        for _, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.schema.names == docs.schema.names
+            out.collect()
+        last = pipeline.STAGES[-1][1](spark, docs, SF)
+        assert len(last.collect()) == len(given) and all(r["round_trip"] for r in last.collect())
+    kept = [r["doc_id"] for r in pipeline.near_duplicates(spark, spark.createDataFrame(rows, columns), SF).collect()]
+    assert sorted(kept, key=str) == sorted([None, 1, 2, 4, 5], key=str)
+    masked = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.secrets(spark, spark.createDataFrame(rows, columns), SF).collect()}
+    assert masked[5] == ("[secret] and more", 17) and masked[None] == (None, None)
