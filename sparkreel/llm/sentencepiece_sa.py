@@ -25,29 +25,30 @@ from .shared import Idle, small_batches, with_fields
 SPACE = "▁"
 #: Segments that a worker remembers before it starts afresh, and characters that are indexed at once.
 MEMORY = 500_000
-INDEXED = 1 << 17
+INDEXED = 1 << 18
 _PAIR_MEMORY = 4_000_000
 _open: dict[str, PieceModel] = {}
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of ``codes`` sorted by the ``depth`` codes from each on, by doubling; beyond the end counts as least."""
-    _, rank = np.unique(codes, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    n, k = len(codes), 1
-    order = np.argsort(rank, kind="stable")
-    while k < depth:
-        after = np.zeros(n, np.int64)
-        after[:-k] = rank[k:] if k < n else after[:-k]
-        key = rank * (n + 1) + after
+    """Positions of ``codes`` (below 2^21) sorted by the ``depth`` codes from each on, by doubling; beyond the end counts as least."""
+    n, k = len(codes), 3
+    c = np.zeros(n + 2, np.int64)
+    c[:n] = codes
+    c[:n] += 1
+    key = c[:n] << 42 | c[1 : n + 1] << 21 | c[2:]  # three codes at once
+    while True:
         order = np.argsort(key, kind="stable")
+        if k >= depth:
+            return order
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate(([1], 1 + np.cumsum(sorted_key[1:] != sorted_key[:-1])))
         if rank[order[-1]] == n:
-            break
+            return order
+        key = rank * (n + 1)
+        key[: max(n - k, 0)] += rank[k:]
         k *= 2
-    return order
 
 
 class PieceModel:
