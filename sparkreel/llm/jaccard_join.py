@@ -35,6 +35,10 @@ _U = np.uint64
 #: Members of a pivot that one block holds, and members that one task compares with a pivot.
 BLOCK = 512
 STAR = 512
+_PROFILE_BITS = 7
+PROFILE = 1 << _PROFILE_BITS
+#: Members of a list up to which those that can link with none of the others are left out of it.
+PRUNED = 256
 #: Pairs of pivots and members up to which the units of documents are broadcast (16 MB); beyond, the texts are joined by a shuffle.
 BROADCAST_PAIRS = 1 << 19
 #: Ids of documents up to which they are broadcast (8 MB).
@@ -91,6 +95,16 @@ def sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return where[new], s[new]
 
 
+def _profiles(row: np.ndarray, s: np.ndarray, rows: int) -> list[bytes]:
+    """How many shingles of each set fall in each of PROFILE buckets, 255 at most.
+
+    Two sets differ in at least as many shingles as the sum of the differences of their profiles.
+    """
+    bucket = (mix(s ^ _U(0x3C6EF372FE94F82B)) >> _U(64 - _PROFILE_BITS)).astype(np.int64)
+    count = np.bincount(row * PROFILE + bucket, minlength=rows * PROFILE).reshape(rows, PROFILE)
+    return [r.tobytes() for r in np.minimum(count, 255).astype(np.uint8)]
+
+
 def _digest(row: np.ndarray, s: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(size, digest) of each set; the digest is a sum over the set, so the order does not matter."""
     n = np.bincount(row, minlength=rows)
@@ -103,8 +117,10 @@ def _sizes(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offs in rounds(b.column(1)):
-                n, key = _digest(*sets(data, offs, rule.k), hi - lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(key, mask=n == 0)], ["doc_id", "n", "key"])
+                row, s = sets(data, offs, rule.k)
+                n, key = _digest(row, s, hi - lo)
+                cols = [b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(key, mask=n == 0), pa.array(_profiles(row, s, hi - lo), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "key", "profile"])
 
     return run
 
@@ -156,22 +172,69 @@ def _least_sizes(size: np.ndarray, owner: np.ndarray, agree: np.ndarray) -> np.n
     return least
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists, sorted, as distinct (pivot, member): the first of each list with each other one."""
-    name = pivot = None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists, sorted by list and key, as distinct (list, key) of those with two different members at least."""
+    held = np.zeros((2, 0), np.int64)
     for b in batches:
-        lists, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(lists):
+        rows = np.concatenate((held, np.stack((b.column(0).to_numpy(), b.column(1).to_numpy()))), axis=1)
+        if not rows.shape[1]:
             continue
-        first = np.ones(len(lists), bool)
-        first[1:] = lists[1:] != lists[:-1]
-        first[0] = name is None or lists[0] != name
-        start = np.maximum.accumulate(np.where(first, np.arange(len(lists)), -1))
-        p = np.where(start >= 0, keys[np.maximum(start, 0)], pivot if pivot is not None else keys[0])
-        name, pivot = lists[-1], p[-1]
-        at = p != keys
-        pairs = np.unique(np.stack((p[at], keys[at])), axis=1) if at.any() else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["pivot", "key"])
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+        rows = rows[:, new]
+        same = np.zeros(rows.shape[1] + 1, bool)
+        same[1:-1] = rows[0, 1:] == rows[0, :-1]
+        keep = same[1:] | same[:-1]
+        # the last row waits for the next batch, with the one before it if that is of its list
+        last = rows.shape[1] - (2 if same[-2] else 1)
+        out, held = rows[:, :last][:, keep[:last]], rows[:, last:]
+        yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["list", "key"])
+    if held.shape[1] == 2:
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["list", "key"])
+
+
+def _stars(rule: Rule):
+    """Lists, sorted by list and key, as distinct (pivot, member): the first of each list with each other one.
+
+    Members whose profiles rule out a link with every other member are left out of the list before. A list of more
+    than PRUNED members stays as it is; it comes in pieces, the first of which names the pivot.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, pivot, keys, n, profiles = None, None, [], [], []
+
+        def pairs() -> tuple[np.ndarray, np.ndarray]:
+            k = np.array(keys, np.int64)
+            if pivot is None and len(k) > 1:
+                p = np.frombuffer(b"".join(profiles), np.uint8).reshape(len(k), PROFILE).astype(np.int16)
+                size = np.array(n)
+                far = np.stack([np.abs(p - row).sum(1) for row in p])
+                near = rule.linked(size[:, None], size[None, :], np.maximum(far, np.abs(size[:, None] - size[None, :])))
+                np.fill_diagonal(near, False)
+                k = k[near.any(1)]
+            first = pivot if pivot is not None else k[0] if len(k) else 0
+            k = k[k != first]
+            return np.full(len(k), first, np.int64), k
+
+        for b in batches:
+            found = []
+            for l, k, m, p in zip(*(c.to_pylist() for c in b.columns)):
+                if l != name:
+                    found.append(pairs())
+                    name, pivot, keys, n, profiles = l, None, [], [], []
+                elif len(keys) >= PRUNED:
+                    pivot = keys[0] if pivot is None else pivot
+                    found.append(pairs())
+                    keys, n, profiles = [], [], []
+                keys.append(k)
+                n.append(m)
+                profiles.append(p)
+            got = np.unique(np.concatenate([np.stack(x) for x in found], axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["pivot", "key"])
+        got = pairs()
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["pivot", "key"])
+
+    return run
 
 
 def _set_rows(rule: Rule):
@@ -278,10 +341,13 @@ def groups(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text"
     read, so their names cannot clash. Ids must be integers; a null id stays, and joins groups through its text only.
     """
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    known = staged(docs.mapInArrow(_sizes(rule), "doc_id bigint, n bigint, key bigint"), "sets")
+    known = staged(docs.mapInArrow(_sizes(rule), "doc_id bigint, n bigint, key bigint, profile binary"), "sets")
     lists = docs.select("text").mapInArrow(_lists(rule), "list bigint, key bigint")
     lists = lists.repartition("list").sortWithinPartitions("list", "key")
-    stars = staged(lists.mapInArrow(_stars, "pivot bigint, key bigint").distinct(), "stars")
+    lists = staged(lists.mapInArrow(_shared, "list bigint, key bigint"), "lists")
+    profiles = known.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("profile").alias("profile"))
+    lists = lists.join(profiles, "key").select("list", "key", "n", "profile").repartition("list").sortWithinPartitions("list", "key")
+    stars = staged(lists.mapInArrow(_stars(rule), "pivot bigint, key bigint").distinct(), "stars")
 
     spread = stars.groupBy("pivot").agg(F.count("*").alias("members")).withColumn("salts", F.ceil(F.col("members") / STAR).cast("int"))
     spread = staged(spread, "spread")

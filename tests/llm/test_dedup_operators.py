@@ -78,6 +78,7 @@ def near_texts(rng, groups, copies, words):
 def test_jaccard_groups(spark, monkeypatch, k, num):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)  # hot pivots in several blocks
     monkeypatch.setattr(jaccard_join, "STAR", 4)
+    monkeypatch.setattr(jaccard_join, "PRUNED", 9)
     rng = random.Random(k)
     texts = near_texts(rng, 12, 14, [4, 9, 20, 60, 90, 150]) + [None, "", " \n", "a", "a", "A b", "a b", "x y z", "x" * 200_000, "x" * 200_000]
     rows = list(enumerate(texts))
