@@ -256,3 +256,18 @@ def test_pipeline_stages_take_odd_rows(spark):
     assert sorted(kept, key=str) == sorted([None, 1, 2, 4, 5], key=str)
     masked = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.secrets(spark, spark.createDataFrame(rows, columns), SF).collect()}
     assert masked[5] == ("[secret] and more", 17) and masked[None] == (None, None)
+
+
+def test_op1_exact_repeats_behind_a_license_line(spark):
+    rng = random.Random(4)
+    word = lambda: "v%d" % rng.randrange(1_000_000)
+    line = [word() for _ in range(40)]
+    own = {}
+    rows = []
+    for i in range(120):
+        tail = own.setdefault((i - 5) % 60 if i >= 5 else -i - 1, [word() for _ in range(10)])
+        rows.append((i, " ".join([word() for _ in range(30)] + line + tail + [word() for _ in range(30)])))
+    got = {r["doc_id"]: r["spans"] for r in substring_dedup.passages(docs(spark, rows)).collect()}
+    for i in range(120):
+        if i >= 65:
+            assert any(s["start"] <= 30 and s["stop"] >= 80 and s["source"] == i - 60 for s in got[i]), (i, got[i])
