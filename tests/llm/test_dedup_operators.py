@@ -271,3 +271,24 @@ def test_op1_exact_repeats_behind_a_license_line(spark):
     for i in range(120):
         if i >= 65:
             assert any(s["start"] <= 30 and s["stop"] >= 80 and s["source"] == i - 60 for s in got[i]), (i, got[i])
+
+
+def tokens_of(words):
+    codes = np.array([hash(w) & (1 << 62) - 1 for w in words], np.uint64)
+    return substring_dedup.shingles(codes, np.zeros(len(codes), np.int64), 5)[1]
+
+
+def found_in(x, y, want):
+    spans = substring_dedup.similar_stretches(tokens_of(x), tokens_of(y), 46, 0.8)
+    return any(s <= want[0] + 2 and e >= want[1] - 2 for s, e in spans), spans
+
+
+@pytest.mark.parametrize("size", range(50, 91, 5))
+def test_stretches_with_one_substitution_and_a_shared_tail(size):
+    p, other, tail = ([f"{c}{i}" for i in range(n)] for c, n in (("p", size), ("o", 20), ("t", 25)))
+    swapped = list(p)
+    swapped[size // 2] = "new"
+    good, spans = found_in(p + other + tail, swapped + tail, (0, size - 4))
+    a, b = set(tokens_of(p).tolist()), set(tokens_of(swapped).tolist())
+    assert good or len(a & b) < 0.8 * len(a | b), spans
+    assert size < 55 or good
