@@ -292,3 +292,26 @@ def test_stretches_with_one_substitution_and_a_shared_tail(size):
     a, b = set(tokens_of(p).tolist()), set(tokens_of(swapped).tolist())
     assert good or len(a & b) < 0.8 * len(a | b), spans
     assert size < 55 or good
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_stretches_with_insertions_and_deletions(seed):
+    rng = random.Random(seed)
+    word = lambda: "i%d" % rng.randrange(1_000_000_000)
+    tried = 0
+    for _ in range(300):
+        x = [word() for _ in range(rng.randint(54, 90))]
+        y, at = list(x), rng.randrange(8, len(x) - 8)
+        if rng.random() < 0.5:
+            y[at:at] = [word() for _ in range(rng.randint(1, 8))]
+        else:
+            del y[at : at + rng.randint(1, 8)]
+        a, b = set(tokens_of(x).tolist()), set(tokens_of(y).tolist())
+        if len(b) < 46 or not 0.8 <= len(a & b) / len(a | b) < 0.85:
+            continue
+        tried += 1
+        around = [[word() for _ in range(30)] for _ in range(4)]
+        shared = [i for i, t in enumerate(tokens_of(y).tolist()) if t in a]  # what lies beyond the last shared token only adds to the union
+        good, spans = found_in(around[0] + x + around[1], around[2] + y + around[3], (30 + shared[0], 31 + shared[-1]))
+        assert good, (len(a & b) / len(a | b), spans)
+    assert tried > 10
