@@ -315,3 +315,22 @@ def test_stretches_with_insertions_and_deletions(seed):
         good, spans = found_in(around[0] + x + around[1], around[2] + y + around[3], (30 + shared[0], 31 + shared[-1]))
         assert good, (len(a & b) / len(a | b), spans)
     assert tried > 10
+
+
+def test_op1_recall_at_the_threshold(spark):
+    rng = random.Random(11)
+    word = lambda: "r%d" % rng.randrange(1_000_000_000)
+    rows = []
+    while len(rows) < 800:
+        x = [word() for _ in range(rng.randint(52, 60))]
+        y, at = list(x), rng.randrange(10, len(x) - 10)
+        y[at : at + rng.randint(0, 2)] = [word() for _ in range(rng.randint(0, 3))]
+        a, b = tokens_of(x).tolist(), tokens_of(y).tolist()
+        if len(b) < 46 or not 0.8 <= len(set(a) & set(b)) / len(set(a) | set(b)) < 0.87:
+            continue
+        for p in (x, y):
+            rows.append((len(rows), " ".join([word() for _ in range(60)] + p + [word() for _ in range(60)])))
+    got = {r["doc_id"]: r["spans"] for r in substring_dedup.passages(docs(spark, rows)).collect()}
+    found = sum(any(s["source"] == i - 1 for s in got[i]) for i in range(1, 800, 2))
+    print("recall at 0.80-0.87:", found / 400)
+    assert found >= 396 and not any(got[i] for i in range(0, 800, 2))
