@@ -334,3 +334,20 @@ def test_op1_recall_at_the_threshold(spark):
     found = sum(any(s["source"] == i - 1 for s in got[i]) for i in range(1, 800, 2))
     print("recall at 0.80-0.87:", found / 400)
     assert found >= 396 and not any(got[i] for i in range(0, 800, 2))
+
+
+def test_op1_passage_with_a_line_that_its_document_repeats(spark):
+    rng = random.Random(12)
+    word = lambda: "u%d" % rng.randrange(1_000_000_000)
+    rows = []
+    for _ in range(40):
+        line, passage = [word() for _ in range(45)], [word() for _ in range(12)]
+        new = list(passage)
+        new[-1] = word()
+        before, after = [word() for _ in range(50)], [word() for _ in range(50)]
+        rows.append((len(rows), " ".join([*before, *line, word(), *line, word(), *passage, *line, *passage, *after])))
+        rows.append((len(rows), " ".join([word() for _ in range(50)] + passage + line + new + [word() for _ in range(50)])))
+        assert " ".join(passage + line) in rows[-2][1]
+    got = {r["doc_id"]: r["spans"] for r in substring_dedup.passages(docs(spark, rows)).collect()}
+    for i in range(1, 80, 2):
+        assert any(s["start"] <= 50 and s["stop"] >= 50 + 57 and s["source"] == i - 1 for s in got[i]), (i, got[i])
