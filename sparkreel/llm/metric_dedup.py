@@ -142,7 +142,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id
     """
     src = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     rows = src.mapInArrow(_checked, "vec_id bigint, raw binary").withColumns({"k1": F.xxhash64("raw"), "k2": F.xxhash64("raw", F.lit(1))})
-    same = rows.filter("raw is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.first("raw").alias("raw"))
+    same = rows.filter("raw is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"), F.first("raw").alias("raw")).withColumn("rep", F.col("k1"))  # ids may be null or repeat
     distinct = staged(same, "vectors")
     sizes = distinct.groupBy(F.length("raw").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(MAX_PIVOTS).collect()
     if distinct.select(F.length("raw")).distinct().count() > len(sizes):
@@ -171,10 +171,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id
     label = components(found.filter("links = 0").select("a", "b"))
     dropped(cells)
     groups = staged(
-        distinct.select("k1", "k2", "rep", "many").join(direct, "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("k1", "k2", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")),
-        "groups",
+        distinct.select("k1", "k2", "rep", "many", "least").join(direct, "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
+        .select("k1", "k2", "least", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("own")),
+        "labelled",
     )
+    least = groups.groupBy("own").agg(F.min("least").alias("component"))
+    groups = groups.join(least, "own").select("k1", "k2", "links", "component")
     out = rows.withColumn("k1", F.when(F.col("raw").isNotNull(), F.col("k1"))).drop("raw").join(groups, ["k1", "k2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

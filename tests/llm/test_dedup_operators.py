@@ -351,3 +351,10 @@ def test_op1_passage_with_a_line_that_its_document_repeats(spark):
     got = {r["doc_id"]: r["spans"] for r in substring_dedup.passages(docs(spark, rows)).collect()}
     for i in range(1, 80, 2):
         assert any(s["start"] <= 50 and s["stop"] >= 50 + 57 and s["source"] == i - 1 for s in got[i]), (i, got[i])
+
+
+def test_metric_join_with_null_and_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.1]), (None, [1.0, 0.05]), (None, [0.0, 1.0]), (3, [0.05, 1.0]), (9, [-1.0, 0.0])]
+    got = metric_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    found = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str)
+    assert found == sorted([(5, 2, 5), (5, 2, 5), (None, 2, 5), (None, 1, 3), (3, 1, 3), (9, 0, 9)], key=str)
