@@ -2,11 +2,10 @@
 
 Method: a credential of several parts (an access identifier, its secret, the
 endpoint it belongs to) is found by interval joins inside scopes. A scope is a
-block of lines without a blank line between them, cut where it grows past
-``REACH`` characters; parts of kind ``access``, ``endpoint`` and ``weak`` (a
+block of lines without a blank line between them; parts of kind ``access``, ``endpoint`` and ``weak`` (a
 token that looks random but that nothing names as a secret) are intervals in
 it. A weak candidate is reported, as ``linked``, only where an access
-identifier or an endpoint stands within REACH characters in the same scope, and an endpoint,
+identifier or an endpoint stands in the same scope, and an endpoint,
 as ``endpoint``, only where it completes a reported part. The join is a merge
 of intervals sorted by position, so its cost is linear in the intervals and no
 pairs are made; scopes never leave their document, so no rows are shuffled.
@@ -33,9 +32,6 @@ _WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _ENDPOINT = re.compile(r"\b(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+", re.ASCII)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
-#: Characters that a part may stand from the part it completes.
-REACH = 400
-
 
 def _random(token: str) -> bool:
     """Whether a token mixes digits with both cases of letters, as keys do and words and paths do not."""
@@ -65,16 +61,16 @@ def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _near(span: tuple[int, int, int], others: list[tuple[int, int, int]], scope: dict[int, int], most: int) -> bool:
-    """Whether one of ``others``, sorted and apart from each other, is in the span's scope and reach."""
+def _near(span: tuple[int, int, int], others: list[tuple[int, int, int]], scope: dict[int, int], most: int | None) -> bool:
+    """Whether one of ``others``, sorted and apart from each other, is in the span's scope and, where ``most`` is given, so near."""
     at = bisect_left(others, (span[0],))
     for o in others[max(0, at - 1) : at + 1]:
-        if o[0] != span[0] and scope[o[0]] == scope[span[0]] and max(o[0] - span[2], span[0] - o[2]) <= most:
+        if o[0] != span[0] and scope[o[0]] == scope[span[0]] and (most is None or max(o[0] - span[2], span[0] - o[2]) <= most):
             return True
     return False
 
 
-def _linked(text: str, base: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
+def _linked(text: str, base: list[tuple[int, int, int]], reach: int | None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the parts that only the complementary parts near them make credible."""
     access = [s for s in base if s[1] == 1]
     ends = [(m.start(), 4, m.end()) for m in _ENDPOINT.finditer(text)] if "://" in text else []
@@ -97,11 +93,11 @@ def _render(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), reach: int = REACH) -> DataFrame:
+def scan_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), reach: int | None = None) -> DataFrame:
     """``keep`` columns, ``base`` and ``spans``: arrays of struct<kind, start, end>, by start and then kind.
 
     Offsets are code points, ends exclusive. ``base`` has the kinds assign, access and hex, ``spans`` also the
-    linked parts. One row per input row, repeated rows included; null and empty texts have no spans; columns
+    linked parts, which may be anywhere in their scope or, where ``reach`` is given, so many characters apart. One row per input row, repeated rows included; null and empty texts have no spans; columns
     not kept are not read.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
