@@ -71,15 +71,22 @@ def hash_noise(x: Column, y: Column, seed) -> Column:
     return h.bitwiseAND(0xFFFFFF) / float(0xFFFFFF)
 
 
-def noisy(rgb: RGB, x: Column, y: Column, seed, strength: float) -> RGB:
+def _where(strength, changed: RGB, rgb: RGB) -> RGB:
+    """An effect that is skipped at a strength of 0.001 or less, where it is a number already in the plan."""
+    if isinstance(strength, Column):
+        return tuple(F.when(strength > 0.001, a).otherwise(b) for a, b in zip(changed, rgb))
+    return changed if strength > 0.001 else rgb
+
+
+def noisy(rgb: RGB, x: Column, y: Column, seed, strength) -> RGB:
     n = (hash_noise(x, y, seed) - 0.5) * (strength / 100)
-    return tuple(clamp01(c + n) for c in rgb) if strength > 0.001 else rgb
+    return _where(strength, tuple(clamp01(c + n) for c in rgb), rgb)
 
 
-def grainy(rgb: RGB, y: Column, seed, strength: float) -> RGB:
+def grainy(rgb: RGB, y: Column, seed, strength) -> RGB:
     """One value for each row of pixels."""
     g = (hash_noise(y, F.lit(0), seed) - 0.5) * (strength / 200)
-    return tuple(clamp01(c * (1 + g)) for c in rgb) if strength > 0.001 else rgb
+    return _where(strength, tuple(clamp01(c * (1 + g)) for c in rgb), rgb)
 
 
 def quantized(c: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 #: Fixed value: shorter inputs, in seconds, stay whole.
 LEAST_SECONDS = 5.0
 
@@ -22,10 +24,14 @@ def chunk_of(t: Column, total: float, chunks: int) -> Column:
     return F.least(F.floor(t / (total / n)), F.lit(n - 1)).cast("int") if n > 1 else F.lit(0)
 
 
-def rebased(df: DataFrame, chunk: str, t: str, order: str) -> DataFrame:
-    """``local``, the time since the chunk's first frame, and ``chunk_frame``, the frame's number in it."""
-    w = W.partitionBy(chunk)
-    return df.withColumn("local", F.col(t) - F.min(t).over(w)).withColumn("chunk_frame", (F.row_number().over(w.orderBy(t, order)) - 1).cast("bigint"))
+def rebased(df: DataFrame, chunk: str, t: str, order: str, width: float = 1.0) -> DataFrame:
+    """``local``, the time since the chunk's first frame, and ``chunk_frame``, the frame's number in it.
+
+    A chunk is spread over tasks by buckets of ``width`` in time; its first time is one row per chunk.
+    """
+    first = df.groupBy(chunk).agg(F.min(t).alias("__first"))
+    d = df.join(F.broadcast(first), chunk).withColumn("local", F.col(t) - F.col("__first")).drop("__first")
+    return numbered(d, [F.floor(F.col(t) / width)], [t, order], "chunk_frame", (chunk,)).select(*df.columns, "local", "chunk_frame")
 
 
 def cursors(df: DataFrame, chunk: str, seconds: str) -> DataFrame:

@@ -11,6 +11,15 @@ def mse(a: list[Column], b: list[Column]) -> Column:
     return F.avg(sum(((x - y) * (x - y) for x, y in zip(a[1:], b[1:])), (a[0] - b[0]) * (a[0] - b[0])) / len(a))
 
 
+def parity(a: DataFrame, b: DataFrame, keys: list[str], channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """One row for two renders, joined pixel by pixel: ``pixels`` both have, ``missing`` that one lacks, ``mse``, ``psnr``."""
+    other = b.select(*keys, *[F.col(c).alias(f"__{c}") for c in channels], F.lit(True).alias("__in_b"))
+    both = a.select(*keys, *channels, F.lit(True).alias("__in_a")).join(other, keys, "full")
+    error = mse([F.col(c) for c in channels], [F.col(f"__{c}") for c in channels])
+    got = both.agg(F.count_if(F.col("__in_a") & F.col("__in_b")).alias("pixels"), F.count_if(F.col("__in_a").isNull() | F.col("__in_b").isNull()).alias("missing"), error.alias("mse"))
+    return got.withColumn("psnr", psnr(F.col("mse")))
+
+
 def psnr(error: Column) -> Column:
     """Decibels of a mean squared error of 0..1 channels; infinite where it is 0."""
     return F.when(error == 0, F.lit(float("inf"))).otherwise(10 * F.log10(1 / error))

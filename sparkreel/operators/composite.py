@@ -54,8 +54,18 @@ def covers(px: Column, py: Column, x: Column, y: Column, w: Column, h: Column, c
     return (px >= x) & (py >= y) & (px < x + w) & (py < y + h) & (u <= clip_right)
 
 
+def layered(df: DataFrame, layers: list[tuple], channels: str = "rgb") -> DataFrame:
+    """``df`` with its channels under layers that the plan knows: (z, source channels, alpha, opacity), in order of z.
+
+    Each layer is one projection, so all of them are generated code with no array.
+    """
+    for _, src, alpha, opacity in sorted(layers, key=lambda l: l[0]):
+        df = df.withColumns({c: over(F.col(c), s, alpha, opacity) for c, s in zip(channels, src)})
+    return df
+
+
 def composed(bg: Column, layers: Column) -> Column:
-    """struct<r,g,b> background under ``layers``, array<struct<z,r,g,b,a,opacity>>, folded in order of z."""
+    """struct<r,g,b> background under ``layers``, array<struct<z,r,g,b,a,opacity>> of any number, folded in order of z. See ``layered``."""
     step = lambda acc, l: F.struct(*[over(acc[c], l[c], l["a"], l["opacity"]).alias(c) for c in "rgb"])
     return F.aggregate(F.array_sort(layers), bg, step)
 
@@ -71,8 +81,16 @@ def glyph_step(acc: Column, mask: Column, color: Column) -> Column:
     return F.when((mask == 0) | (byte(0) >= 255), acc).otherwise(out)
 
 
+def drawn(df: DataFrame, images: list[tuple]) -> DataFrame:
+    """``df`` (r, g, b, a) with glyphs that the plan knows, (ord, mask, color), drawn in order: one projection each."""
+    for _, mask, color in sorted(images, key=lambda g: g[0]):
+        out = glyph_step(F.struct(*"rgba"), mask, color)
+        df = df.withColumns({c: out[c] for c in "rgba"})
+    return df
+
+
 def glyphs(bg: Column, images: Column) -> Column:
-    """``images``, array<struct<ord, mask, color>>, drawn in order."""
+    """``images``, array<struct<ord, mask, color>> of any number, drawn in order. See ``drawn``."""
     return F.aggregate(F.array_sort(images), bg, lambda acc, g: glyph_step(acc, g["mask"], g["color"]))
 
 

@@ -33,15 +33,25 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, width:
     return out.select("__l.*", F.coalesce("__seen", "__carry").alias("b"))
 
 
-def numbered(df: DataFrame, bucket: list, order: list, name: str) -> DataFrame:
-    """``df`` with ``name``, 0, 1, ... over all rows by ``bucket`` and then ``order``.
+#: Buckets whose sizes are summed in one task; the sums of such groups are summed once more.
+GROUP = 1024
 
-    Rows are numbered inside their bucket and buckets are offset by their sizes, so only one row per bucket meets in
-    one task. ``bucket`` must be coarser than, and in line with, ``order``.
+
+def numbered(df: DataFrame, bucket: list, order: list, name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``name``, 0, 1, ... over all rows, or over those of equal ``within``, by ``bucket`` and then ``order``.
+
+    Rows are numbered inside their bucket and buckets are offset by their sizes, on two levels: a task sums GROUP
+    buckets, and what meets in one task is one row per group of buckets. ``bucket``, whose last column is a
+    number, must be coarser than, and in line with, ``order``.
     """
     keys = [f"__k{i}" for i in range(len(bucket))]
     d = df.withColumns(dict(zip(keys, bucket)))
-    n = d.groupBy(*keys).agg(F.count("*").alias("__n"))
-    n = n.select(*keys, (F.sum("__n").over(W.orderBy(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")).alias("__base"))
-    d = d.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return d.join(n, keys).withColumn(name, (F.col("__base") + F.col("__i") - 1).cast("bigint")).drop(*keys, "__i", "__base")
+    upto = lambda part, by: W.partitionBy(*part).orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    n = d.groupBy(*within, *keys).agg(F.count("*").alias("__n")).withColumn("__g", F.floor(F.col(keys[-1]) / GROUP))
+    coarse = [*keys[:-1], "__g"]
+    n = n.withColumn("__base", F.sum("__n").over(upto([*within, *coarse], keys[-1:])) - F.col("__n"))
+    g = n.groupBy(*within, *coarse).agg(F.sum("__n").alias("__all"))
+    g = g.select(*within, *coarse, (F.sum("__all").over(upto(within, coarse)) - F.col("__all")).alias("__before"))
+    n = n.join(g, [*within, *coarse]).select(*within, *keys, (F.col("__base") + F.col("__before")).alias("__base"))
+    d = d.withColumn("__i", F.row_number().over(W.partitionBy(*within, *keys).orderBy(*order)))
+    return d.join(n, [*within, *keys]).withColumn(name, (F.col("__base") + F.col("__i") - 1).cast("bigint")).drop(*keys, "__i", "__base")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkreel.functions.resolve import OVERLAPPING, TRANSITIONS
@@ -59,8 +60,8 @@ def total_seconds(slots: list[Slot]) -> float:
 
 def as_table(spark: SparkSession, slots: list[Slot]) -> DataFrame:
     """One row per segment, with the transition into it."""
-    rows = [(s.seg_idx, s.offset, s.duration, s.name, s.d, s.overlaps, slots[i - 1].name if i else None, slots[i - 1].d if i else 0.0) for i, s in enumerate(slots)]
-    return spark.createDataFrame(rows, "seg_idx int, offset double, duration double, kind_out string, d_out double, overlaps boolean, kind_in string, d_in double")
+    rows = [(s.seg_idx, s.offset, s.duration, s.name, s.d, s.overlaps, s.ease, slots[i - 1].name if i else None, slots[i - 1].d if i else 0.0) for i, s in enumerate(slots)]
+    return spark.createDataFrame(rows, "seg_idx int, offset double, duration double, kind_out string, d_out double, overlaps boolean, ease_out string, kind_in string, d_in double")
 
 
 def on_timeline(frames: DataFrame, table: DataFrame) -> DataFrame:
@@ -71,8 +72,8 @@ def on_timeline(frames: DataFrame, table: DataFrame) -> DataFrame:
 def emitted(placed: DataFrame) -> DataFrame:
     """Frames beyond all that earlier segments have shown: the maximum per segment, then a running maximum over segments."""
     ends = placed.groupBy("seg_idx").agg(F.max("out_pts").alias("end"))
-    a, b = ends.alias("a"), ends.alias("b")
-    mark = a.join(F.broadcast(b), F.col("b.seg_idx") < F.col("a.seg_idx")).groupBy(F.col("a.seg_idx").alias("seg_idx")).agg(F.max("b.end").alias("mark"))
+    before = W.orderBy("seg_idx").rowsBetween(W.unboundedPreceding, -1)  # over one row per segment
+    mark = ends.select("seg_idx", F.max("end").over(before).alias("mark"))
     shown = placed.join(F.broadcast(mark), "seg_idx", "left")
     return shown.filter(F.col("mark").isNull() | (F.col("out_pts") > F.col("mark") + EPSILON)).drop("mark")
 
@@ -92,6 +93,13 @@ def segment_at(times: DataFrame, t: str, slots: list[Slot]) -> DataFrame:
     return out.withColumn("local", F.col(t) - F.element_at(at, F.col("seg_idx") + 1))
 
 
+def probe_targets(at: DataFrame, slots: list[Slot]) -> DataFrame:
+    """Times with their segment (``segment_at``) and ``target``, the local time to seek: inside the segment, a millisecond before its end at most."""
+    ends = F.array(*[F.lit(s.duration) for s in slots])
+    last = F.element_at(ends, F.col("seg_idx") + 1) - 0.001
+    return at.withColumn("target", F.greatest(F.lit(0.0), F.least(F.col("local"), last))).drop("local")
+
+
 def blended(placed: DataFrame, frames: DataFrame, t: str = "pts", width: float = 1.0) -> DataFrame:
     """Frames inside an overlapping transition, with ``progress`` and the frame of the next segment shown with them.
 

@@ -41,11 +41,12 @@ def table_tracks(probes: DataFrame, keys: DataFrame, track: str, t: str, width:
         "__first": F.first("v").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
         "__start": F.first(t).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
     })
-    lead = seg.select(track, t, "__n", "v", "__t1", "__v1", "__e1", "__first", "__start")
+    # the curve's numbers are read once per key, not once per probe
+    lead = seg.select(track, t, "__n", "v", "__t1", "__v1", "__e1", "__first", "__start", easing.points(F.col("__e1")).alias("__p1"))
     edge = lead.groupBy(track).agg(F.first("__first").alias("first_v"))
     got = asof_join(probes, lead, [track], t, width).join(edge, track, "left")
     u = (F.col(t) - F.col(f"b.{t}")) / (F.col("b.__t1") - F.col(f"b.{t}"))
-    inner = F.col("b.v") + (F.col("b.__v1") - F.col("b.v")) * easing.eased_by(F.col("b.__e1"), u)
+    inner = F.col("b.v") + (F.col("b.__v1") - F.col("b.v")) * easing.eased_by(F.col("b.__e1"), u, F.col("b.__p1"))
     value = (
         F.when(F.col("b").isNull(), F.coalesce("first_v", F.lit(0.0)))
         .when(F.col(t) == F.col("b.__start"), F.when(F.col("b.__t1").isNull() & (F.col("b.__n") > 1), F.col("b.v")).otherwise(F.col("b.__first")))

@@ -67,7 +67,7 @@ ev AS (SELECT event_id, event_type, user_id, value, epoch_us(ts) AS us, CAST(den
 fr AS (SELECT seg_idx, event_id, user_id, value, (us - min(us) OVER (PARTITION BY seg_idx)) / 3.6e9 AS pts FROM ev)
 """
 FR = "WITH " + EV
-OUT = [timeline.Transition("crossfade", 20.0), timeline.Transition("wipeUp", 15.0), timeline.Transition("dipToBlack", 12.0), timeline.Transition("slideLeft", 900.0), None]
+OUT = [timeline.Transition("crossfade", 20.0), timeline.Transition("wipeUp", 15.0), timeline.Transition("dipToBlack", 12.0), timeline.Transition("slideLeft", 900.0, "easeIn"), None]
 TL = f"""
 WITH RECURSIVE {EV},
 seg AS (SELECT seg_idx, max(pts) + 0.5e0 AS duration FROM fr GROUP BY seg_idx),
@@ -306,7 +306,7 @@ def lut_apply(spark, d):
     return p.select("l_orderkey", *rgb6(color.lut_sampled(RGB(), F.col("lut"), N, 0.75)))
 
 
-CUBE = ["# a comment", "TITLE \"t\"", "LUT_3D_SIZE 2", "", "domain_min 0 0 0", *[f"{r * 0.5} {g * 0.25} {b}" for b in (0, 1) for g in (0, 1) for r in (0, 1)]]
+CUBE = ["# a comment", "TITLE \"t\"", "LUT_3D_SIZE 2", "", "domain_min 0 0 0", "LUT_3D_INPUT_RANGE 0 1", "0.5 0.5", "a b c", *[f"{r * 0.5} {g * 0.25} {b}" for b in (0, 1) for g in (0, 1) for r in (0, 1)]]
 
 
 @query("SELECT CAST(r AS INT) AS ri, CAST(g AS INT) AS gi, CAST(b AS INT) AS bi, r * 0.5e0 AS r, g * 0.25e0 AS g, b * 1e0 AS b FROM range(2) x(r), range(2) y(g), range(2) z(b)")
@@ -607,15 +607,16 @@ def bypass_uv(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", r6(u).alias("u"), r6(v).alias("v"))
 
 
-def _layers() -> Column:
+def _layers() -> list[tuple]:
     """Four layers given out of order, each a colour over part of the frame; the clip drops the right of layer 2."""
     def layer(z, r, g, b, alpha, opacity, seen=None):
         a = alpha if seen is None else F.when(seen, alpha).otherwise(0.0)
-        return F.struct(F.lit(z).alias("z"), *[(F.lit(c) * a).alias(n) for c, n in zip((r, g, b), "rgb")], a.alias("a"), F.lit(opacity).alias("opacity"))
+        return z, [c * a for c in (r, g, b)], a, opacity
 
     x, y = F.col("x"), F.col("y")
     boxed = composite.covers(x, y, F.lit(100.0), F.lit(200.0), F.lit(600.0), F.lit(900.0), 0.7)
-    return F.array(layer(3, 0.2, 0.4, 0.9, F.col("b"), 0.5), layer(1, 0.9, 0.1, 0.3, F.col("g"), 0.8), layer(4, 1.0, 1.0, 1.0, F.col("g") * F.col("b"), 0.25), layer(2, 0.3, 0.8, 0.2, F.lit(1.0), 0.6, boxed))
+    g, b = F.col("g0"), F.col("b0")
+    return [layer(3, 0.2, 0.4, 0.9, b, 0.5), layer(1, 0.9, 0.1, 0.3, g, 0.8), layer(4, 1.0, 1.0, 1.0, g * b, 0.25), layer(2, 0.3, 0.8, 0.2, F.lit(1.0), 0.6, boxed)]
 
 
 def _sql_over(c: str, layers) -> str:
@@ -630,8 +631,8 @@ _BOX = "CASE WHEN x >= 100 AND y >= 200 AND x < 700 AND y < 1100 AND (x - 100 +
 
 @query(f"{PX} SELECT l_orderkey, " + ", ".join(R(_sql_over(n, [(a, "g", 0.8), (b, _BOX, 0.6), (c, "b", 0.5), (1, "g * b", 0.25)])) + f" AS {n}" for n, a, b, c in (("r", 0.9, 0.3, 0.2), ("g", 0.1, 0.8, 0.4), ("b", 0.3, 0.2, 0.9))) + " FROM px")
 def composite_over(spark, d):
-    out = composite.composed(F.struct("r", "g", "b"), _layers())
-    return pixels(spark, d).select("l_orderkey", out.alias("o")).select("l_orderkey", *rgb6(tuple(F.col("o")[c] for c in "rgb")))
+    p = pixels(spark, d).withColumns({"g0": F.col("g"), "b0": F.col("b")})
+    return composite.layered(p, _layers()).select("l_orderkey", *rgb6(RGB()))
 
 
 def _sql_glyph(prev: str, mask: str, colour: str, name: str) -> str:
@@ -649,11 +650,10 @@ def _sql_glyph(prev: str, mask: str, colour: str, name: str) -> str:
 def glyph_blend(spark, d):
     p = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_orderkey") % 256).alias("x"), (F.col("l_partkey") % 256).alias("y"), *[
         (F.col(c) * k % 256).alias(n) for c, k, n in (("l_orderkey", 3, "r"), ("l_partkey", 5, "g"), ("l_suppkey", 7, "b"))])
-    glyph = lambda n, mask, c: F.struct(F.lit(n).alias("ord"), mask.cast("bigint").alias("mask"), F.lit(c).cast("bigint").alias("color"))
     x, y = F.col("x"), F.col("y")
-    images = F.array(glyph(2, y, 16777471), glyph(1, x, 4286611488), glyph(3, F.floor((x + y) / 2), 305419776))
-    out = composite.glyphs(F.struct("r", "g", "b", F.lit(255).cast("bigint").alias("a")), images)
-    return p.select("l_orderkey", out.alias("o")).select("l_orderkey", "o.r", "o.g", "o.b", "o.a")
+    colour = lambda c: F.lit(c).cast("bigint")
+    images = [(2, y, colour(16777471)), (1, x, colour(4286611488)), (3, F.floor((x + y) / 2), colour(305419776))]
+    return composite.drawn(p.withColumn("a", F.lit(255).cast("bigint")), images).select("l_orderkey", "r", "g", "b", "a")
 
 
 @query(f"{PX} SELECT DISTINCT x, y, CAST(CASE WHEN (x // 8 + y // 8) % 2 = 0 THEN 90 ELSE 160 END AS INT) AS grey FROM px")
@@ -668,9 +668,10 @@ def _planes(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: (v.cast("double") + 1) / 2).alias("plane"))
 
 
-def sql_bilinear(u: str, v: str) -> str:
-    at = lambda i, j: f"((embedding[CAST(greatest(0, least(7, {j})) * 8 + greatest(0, least(7, {i})) + 1 AS INT)]::DOUBLE + 1) / 2)"
-    x, y = f"(({u}) * 8 - 0.5e0)", f"(({v}) * 8 - 0.5e0)"
+def sql_bilinear(u: str, v: str, plane: str = "embedding", n: int = 8, value: str = "({}::DOUBLE + 1) / 2") -> str:
+    last = n - 1
+    at = lambda i, j: "(" + value.format(f"{plane}[CAST(greatest(0, least({last}, {j})) * {n} + greatest(0, least({last}, {i})) + 1 AS INT)]") + ")"
+    x, y = f"(({u}) * {n} - 0.5e0)", f"(({v}) * {n} - 0.5e0)"
     x0, y0 = f"floor({x})", f"floor({y})"
     row = lambda j: f"({at(x0, j)} * (1 - ({x} - {x0})) + {at(f'({x0} + 1)', j)} * ({x} - {x0}))"
     return f"({row(y0)} * (1 - ({y} - {y0})) + {row(f'({y0} + 1)')} * ({y} - {y0}))"
@@ -714,9 +715,24 @@ def _stem(spark, d, kind: str) -> DataFrame:
 STEMS = "st AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY us, event_id) - 1 AS n, value / 250 - 1 AS v FROM ev), na AS (SELECT n, v FROM st WHERE event_type = 'click'), mu AS (SELECT n, v FROM st WHERE event_type = 'view')"
 
 
-@query(f"{FR}, {STEMS} SELECT na.n, 0 AS ch, {R('CASE WHEN mu.v IS NULL THEN na.v ELSE greatest(-1e0, least(1e0, na.v + mu.v * 0.7e0)) END')} AS v FROM na LEFT JOIN mu USING (n)")
+MIX = "CASE WHEN {m}.v IS NULL THEN na.v ELSE greatest(-1e0, least(1e0, na.v + {m}.v * 0.7e0)) END"
+
+
+@query(f"""{FR}, {STEMS}, mx AS (
+  SELECT 'none' AS music, na.n, na.v FROM na UNION ALL SELECT 'silent', na.n, na.v FROM na
+  UNION ALL SELECT 'shorter', na.n, {MIX.format(m='sh')} FROM na LEFT JOIN (SELECT * FROM mu WHERE n < 100) sh USING (n)
+  UNION ALL SELECT 'longer', na.n, {MIX.format(m='lo')} FROM na LEFT JOIN (SELECT * FROM mu UNION ALL SELECT n + (SELECT count(*) FROM mu), v FROM mu) lo USING (n))
+SELECT music, n, 0 AS ch, {R('v')} AS v FROM mx""")
 def audio_mix(spark, d):
-    return audio.mixed(_stem(spark, d, "click"), _stem(spark, d, "view"), 0.7).select("n", "ch", r6(F.col("v")).alias("v"))
+    """Narration with no music, with silent music, with less of it and with more of it than the narration lasts."""
+    na, mu = _stem(spark, d, "click"), _stem(spark, d, "view")
+    more = mu.crossJoin(F.broadcast(mu.agg(F.count("*").alias("all")))).select((F.col("n") + F.col("all")).alias("n"), "ch", "v")
+    mixes = {"none": (None, 0.7), "silent": (mu, 0.0), "shorter": (mu.filter("n < 100"), 0.7), "longer": (mu.unionByName(more), 0.7)}
+    out = None
+    for name, (music, volume) in mixes.items():
+        got = audio.mixed(na, music, volume).select(F.lit(name).alias("music"), "n", "ch", r6(F.col("v")).alias("v"))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query(f"{FR}, {STEMS} SELECT n // 100 AS chunk, count(*) AS samples, min(n) AS first FROM na GROUP BY 1")
@@ -725,13 +741,14 @@ def audio_chunk_plan(spark, d):
     return s.groupBy(audio.chunk(F.col("n"), 100).alias("chunk")).agg(F.count("*").alias("samples"), F.min("n").alias("first"))
 
 
-CH = f"{FR}, tt AS (SELECT max(pts) + 0.5e0 AS total FROM fr WHERE seg_idx = 0), ch AS (SELECT fr.*, CAST(least(floor(pts / (total / 7)), 6) AS INT) AS chunk FROM fr, tt WHERE seg_idx = 0)"
+CH = f"{TL}, tt AS (SELECT max(offs + duration) AS total FROM tl), ch AS (SELECT pl.event_id, pl.out_pts, value, CAST(least(floor(out_pts / (total / 7)), 6) AS INT) AS chunk FROM pl, tt)"
 
 
 def _chunked(spark, d) -> DataFrame:
-    f = frames(spark, d).filter("seg_idx = 0")
-    total = f.agg(F.max("pts") + 0.5).first()[0]
-    return f.withColumn("chunk", chunks.chunk_of(F.col("pts"), total or 1.0, 7))
+    """All frames of the timeline in seven even chunks of its time."""
+    f = frames(spark, d)
+    s = slots(f)
+    return timeline.on_timeline(f, timeline.as_table(spark, s)).withColumn("chunk", chunks.chunk_of(F.col("out_pts"), timeline.total_seconds(s), 7))
 
 
 @query(f"{CH} SELECT event_id, chunk FROM ch")
@@ -739,27 +756,33 @@ def chunk_split(spark, d):
     return _chunked(spark, d).select("event_id", "chunk")
 
 
-@query(f"{CH} SELECT event_id, chunk, {R('pts - min(pts) OVER (PARTITION BY chunk)')} AS local, row_number() OVER (PARTITION BY chunk ORDER BY pts, event_id) - 1 AS chunk_frame FROM ch")
+@query(f"{CH} SELECT event_id, chunk, {R('out_pts - min(out_pts) OVER (PARTITION BY chunk)')} AS local, row_number() OVER (PARTITION BY chunk ORDER BY out_pts, event_id) - 1 AS chunk_frame FROM ch")
 def chunk_rebase(spark, d):
-    return chunks.rebased(_chunked(spark, d), "chunk", "pts", "event_id").select("event_id", "chunk", r6(F.col("local")).alias("local"), "chunk_frame")
+    return chunks.rebased(_chunked(spark, d), "chunk", "out_pts", "event_id", 10.0).select("event_id", "chunk", r6(F.col("local")).alias("local"), "chunk_frame")
 
 
-@query(f"{CH}, c AS (SELECT chunk, count(*) AS n, max(pts) - min(pts) AS secs FROM ch GROUP BY chunk) SELECT chunk, n AS frames, {R('coalesce(sum(secs) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS cursor FROM c")
+@query(f"{CH}, c AS (SELECT chunk, count(*) AS n, max(out_pts) - min(out_pts) AS secs FROM ch GROUP BY chunk) SELECT chunk, n AS frames, {R('coalesce(sum(secs) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS cursor FROM c")
 def chunk_concat(spark, d):
-    c = _chunked(spark, d).groupBy("chunk").agg(F.count("*").alias("frames"), (F.max("pts") - F.min("pts")).alias("secs"))
+    c = _chunked(spark, d).groupBy("chunk").agg(F.count("*").alias("frames"), (F.max("out_pts") - F.min("out_pts")).alias("secs"))
     return chunks.cursors(c, "chunk", "secs").select("chunk", "frames", r6(F.col("cursor")).alias("cursor"))
 
 
-@query(f"{FR} SELECT event_id, {R('pts')} AS pts FROM fr WHERE seg_idx = 2 AND pts >= 123.25e0 ORDER BY fr.pts, event_id LIMIT 1")
+@query(f"{FR} SELECT seg_idx, event_id, {R('pts')} AS pts FROM (SELECT *, row_number() OVER (PARTITION BY seg_idx ORDER BY pts, event_id) AS k FROM fr WHERE pts >= 123.25e0) WHERE k = 1")
 def frame_probe(spark, d):
-    return render.probe(frames(spark, d).filter("seg_idx = 2"), "pts", 123.25, "event_id").select("event_id", r6(F.col("pts")).alias("pts"))
+    """The first frame at or after a time, of every segment."""
+    return render.probes(frames(spark, d), "seg_idx", "pts", F.lit(123.25), "event_id").select("seg_idx", "event_id", r6(F.col("pts")).alias("pts"))
 
 
-@query(f"{PX}, {SQL_LOOK}, e AS (SELECT avg(((gr - r) * (gr - r) + (gg - g) * (gg - g) + (gb - b) * (gb - b)) / 3) AS m FROM g3) SELECT {R('m')} AS mse, {R('10 * log10(1 / m)', 4)} AS psnr, CAST('Infinity' AS DOUBLE) AS same FROM e")
+@query(f"""{FR}, px AS (SELECT event_id, value / 500 AS r, 1 - value / 500 AS g, 0.5e0 AS b FROM fr), {SQL_LOOK},
+k AS (SELECT * FROM g3 WHERE event_id % 10 <> 3), e AS (SELECT avg(((gr - r) * (gr - r) + (gg - g) * (gg - g) + (gb - b) * (gb - b)) / 3) AS m, count(*) AS n FROM k)
+SELECT n AS pixels, (SELECT count(*) FROM px) - n AS missing, {R('m')} AS mse, {R('10 * log10(1 / m)', 4)} AS psnr, CAST('Infinity' AS DOUBLE) AS same FROM e""")
 def psnr(spark, d):
-    a = color.graded(RGB(), 0.05, 1.1, 0.9, 0.3)
-    got = pixels(spark, d).agg(compare.mse(list(a), list(RGB())).alias("m"), compare.mse(list(RGB()), list(RGB())).alias("z"))
-    return got.select(r6(F.col("m")).alias("mse"), r6(compare.psnr(F.col("m")), 4).alias("psnr"), compare.psnr(F.col("z")).alias("same"))
+    """Two renders joined pixel by pixel, one of which lacks some; and one with itself, which must be equal before others are judged."""
+    px = frames(spark, d).select("event_id", _U().alias("r"), (1 - _U()).alias("g"), F.lit(0.5).alias("b"))
+    graded = px.filter("event_id % 10 <> 3").select("event_id", *[c.alias(n) for c, n in zip(color.graded(RGB(), 0.05, 1.1, 0.9, 0.3), "rgb")])
+    same = compare.parity(px, px, ["event_id"]).select(F.col("psnr").alias("same"))
+    got = compare.parity(graded, px, ["event_id"]).crossJoin(F.broadcast(same))  # one row each
+    return got.select("pixels", "missing", r6(F.col("mse")).alias("mse"), r6(F.col("psnr"), 4).alias("psnr"), "same")
 
 
 @query("WITH p AS (SELECT l_orderkey, l_orderkey % 1080 AS x, l_partkey % 1920 AS y, CAST(round(l_quantity) AS BIGINT) * 100 + CAST(round(l_discount * 100) AS BIGINT) AS v FROM lineitem) SELECT l_orderkey, md5(string_agg(v::VARCHAR, ',' ORDER BY y, x, v::VARCHAR)) AS digest FROM p GROUP BY l_orderkey")
@@ -804,7 +827,7 @@ def log_parse(spark, d):
 
 
 @query(f"""{LOG}, r AS (SELECT *, last_value(CASE WHEN kind = 'meta' THEN src END IGNORE NULLS) OVER w AS meta, max(CASE WHEN kind = 'frame' THEN src END) OVER w AS most FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
-SELECT event_id, {R('least(1e0, src / CASE WHEN coalesce(meta, 0) > 0 THEN meta ELSE most END)')} AS ratio FROM r WHERE kind = 'frame' AND CASE WHEN coalesce(meta, 0) > 0 THEN meta ELSE most END > 0""")
+SELECT event_id, {R('least(1e0, src / CASE WHEN coalesce(meta, 0) > 0 THEN meta ELSE most END)')} AS ratio FROM r WHERE kind = 'frame' AND CASE WHEN coalesce(meta, 0) > 0 THEN meta ELSE most END > 0 UNION ALL SELECT event_id, 1e0 FROM r WHERE kind = 'done'""")
 def progress_ratio(spark, d):
     got = media.parsed_log(F.col("line"))
     p = _lines(spark, d).select("event_id", "user_id", got["kind"].alias("kind"), got["src"].alias("src"))
@@ -813,60 +836,151 @@ def progress_ratio(spark, d):
 
 # ---- whole pipelines
 
-FULL = render.Look(brightness=0.05, contrast=1.1, saturation=0.9, tint=0.3, noise=20.0, grain=40.0)
+MAIN = render.Look(brightness=0.05, contrast=1.1, saturation=0.9, tint=0.3, noise=20.0, grain=40.0, lut_mix=0.75, mirror=True, zoom=1.2, crop=0.1, sigma=9.0, band=0.4)
+SHAPE = render.Shape(8, 8, 6, 12)
 
 
-def _seed() -> Column:
-    return F.col("l_orderkey") % 97 + 1
+def sql_texture(seed: str, rgb=("g{}",), src: str = "g3", x: str = "x", y: str = "y") -> str:
+    """CTEs n1 (noise of 20) and n2 (grain of 40) over ``src``; n2 has kr, kg, kb."""
+    n, g = sql_hash(x, y, seed), sql_hash(y, "0", seed)
+    return (f"n1 AS (SELECT *, {', '.join(f'{c01(f'{rgb[0].format(c)} + ({n} - 0.5e0) * 0.2e0')} AS n{c}' for c in 'rgb')} FROM {src}), "
+            f"n2 AS (SELECT *, {', '.join(f'{c01(f'n{c} * (1 + ({g} - 0.5e0) * 0.2e0)')} AS k{c}' for c in 'rgb')} FROM n1)")
 
 
-def _sql_effects(seed: str) -> str:
-    n, g = sql_hash("x", "y", seed), sql_hash("y", "0", seed)
-    return (f"n1 AS (SELECT *, {', '.join(f'{c01(f'g{c} + ({n} - 0.5e0) * 0.2e0')} AS n{c}' for c in 'rgb')} FROM g3), "
-            f"n2 AS (SELECT *, {', '.join(f'{c01(f'n{c} * (1 + ({g} - 0.5e0) * 0.2e0)')} AS k{c}' for c in 'rgb')} FROM n1)")
+_STRIDE = "1.5e0 / 6"  # sigma 9 over 6 taps, over a fitted width and height of 6
+_UV = {c: f"(({f}) - 0.5e0) * (0.9e0 / 1.2e0) + 0.5e0" for c, f in (("u", f"1 - (x / 6e0 + dx * {_STRIDE})"), ("v", f"(y - 3) / 6e0 + dy * {_STRIDE}"))}
 
 
-@query(f"{PX}, {SQL_LOOK}, {_sql_effects('(l_orderkey % 97 + 1)')} SELECT l_orderkey, x, y, {', '.join(f'{R(f'k{c}')} AS {c}' for c in 'rgb')} FROM n2")
+@query(f"""
+WITH p0 AS (SELECT vec_id, list_transform(embedding, lambda e: (e::DOUBLE + 1) / 2) AS luma, list_transform(embedding[17:32], lambda e: (e::DOUBLE + 1) / 2) AS cb, list_transform(embedding[33:48], lambda e: (e::DOUBLE + 1) / 2) AS cr, x, y,
+    CASE WHEN y / 12e0 <= 0.4e0 THEN 1 - y / 12e0 / 0.4e0 WHEN y / 12e0 >= 0.6e0 THEN (y / 12e0 - 0.6e0) / 0.4e0 ELSE 0e0 END AS alpha FROM embeddings, range(6) a(x), range(12) b(y)),
+tp AS (SELECT dx, dy, exp(-(dx * dx + dy * dy) / 18e0) AS w FROM range(-6, 7) a(dx), range(-6, 7) b(dy)),
+sm AS (SELECT p0.*, 0 AS dx, 0 AS dy, -1e0 AS w FROM p0 WHERE y >= 3 AND y < 9 UNION ALL SELECT p0.*, tp.* FROM p0, tp WHERE y >= 3 AND y < 9 AND alpha > 0.001e0),
+uv AS (SELECT *, {_UV['u']} AS u, {_UV['v']} AS v FROM sm),
+ys AS (SELECT vec_id, x, y, alpha, w, ({sql_bilinear('u', 'v', 'luma', 8, '{}')} - 16 / 255e0) * 255 / 219 AS yy, ({sql_bilinear('u', 'v', 'cb', 4, '{}')} - 128 / 255e0) * 255 / 224 AS pb, ({sql_bilinear('u', 'v', 'cr', 4, '{}')} - 128 / 255e0) * 255 / 224 AS pr FROM uv),
+px AS (SELECT *, {c01('yy + 1.5748e0 * pr')} AS r, {c01('yy - 0.1873e0 * pb - 0.4681e0 * pr')} AS g, {c01('yy + 1.8556e0 * pb')} AS b FROM ys),
+{SQL_LOOK},
+lu AS (SELECT vec_id, x, y, alpha, w, {', '.join(f'g{c} + ({sql_square_lut(f"g{c}")} - g{c}) * 0.75e0 AS g{c}' for c in 'rgb')} FROM g3),
+bl AS (SELECT vec_id, x, y, any_value(alpha) AS alpha, {', '.join(f'max(g{c}) FILTER (WHERE w < 0) AS s{c}, sum(g{c} * w) FILTER (WHERE w > 0) / sum(w) FILTER (WHERE w > 0) AS b{c}' for c in 'rgb')} FROM lu GROUP BY vec_id, x, y),
+mx AS (SELECT vec_id, x, y, {', '.join(f'CASE WHEN b{c} IS NULL THEN s{c} ELSE s{c} + (b{c} - s{c}) * alpha END AS g{c}' for c in 'rgb')} FROM bl),
+{sql_texture('(vec_id % 97 + 1)', src='mx')}
+SELECT vec_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, {', '.join(f'{R(f"k{c}", 5)} AS {c}' for c in 'rgb')} FROM n2
+UNION ALL SELECT vec_id, CAST(x AS INT), CAST(y AS INT), 0e0, 0e0, 0e0 FROM p0 WHERE y < 3 OR y >= 9""")
 def pipeline_main(spark, d):
-    return render.render(pixels(spark, d), FULL, _seed()).select("l_orderkey", "x", "y", *rgb6(RGB()))
+    """The whole main pass over planes: letterbox, mirror, zoom and crop, sampling, conversion, grade, table, edge blur, noise, grain."""
+    plane = lambda lo, n: F.transform(F.slice("embedding", lo, n), lambda v: (v.cast("double") + 1) / 2)
+    f = table(spark, d, "embeddings").select("vec_id", plane(1, 64).alias("luma"), plane(17, 16).alias("cb"), plane(33, 16).alias("cr"), (F.col("vec_id") % 97 + 1).alias("seed"))
+    out = render.planes_rendered(f, MAIN, SHAPE, ["vec_id", "seed"], "seed", cube.as_array(_lut(spark)), N)
+    return out.select("vec_id", "x", "y", *[r6(F.col(c), 5).alias(c) for c in "rgb"])
+
+
+FRAME_LOOK = render.Look(contrast=1.2, saturation=0.8, noise=20.0, grain=40.0, tracks={"brightness": KEYS})
+FADE_KEYS = ((0.0, 0.2, "linear"), (4000.0, 1.0, "linear"))
+#: Captions first, then overlays, in order of z.
+LAYERS = [
+    render.Layer(1, (0.45, 0.35, 0.05), 0.5, 0.4, rect=(0.0, 0.0, 60.0, 30.0)),
+    render.Layer(2, (0.1, 0.2, 0.8), 0.8, 0.9, 500.0, 3000.0, FADE_KEYS),
+]
+CAPTIONS = [(10.0, 700.25), (700.5, 1500.0), (2000.0, None)]
+FADES = (24.0, 36.0)
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    """``df`` under the captions, whose clock is whole milliseconds, and then the overlays."""
+    x, y = F.col("x"), F.col("y")
+    ms = F.floor(F.col("out_pts") * 1000) / 1000
+    df = render.overlaid(df, [render.Layer(k, (0.9, 0.9, 0.9), 0.9, 1.0, a, b) for k, (a, b) in enumerate(CAPTIONS)], ms, x, y)
+    return render.overlaid(df, LAYERS, F.col("out_pts"), x, y)
 
 
-@query(f"{PX}, {SQL_LOOK}, {_sql_effects('0')} SELECT l_orderkey, x, y, {', '.join(f'{R(f'k{c}')} AS {c}' for c in 'rgb')} FROM n2 WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem WHERE l_orderkey >= 100)")
-def pipeline_probe(spark, d):
-    """One frame with the seed of frame 0; the time filter reaches the scan."""
-    p = pixels(spark, d).filter("l_orderkey >= 100")
-    at = p.agg(F.min("l_orderkey").alias("l_orderkey"))
-    return render.render(p.join(F.broadcast(at), "l_orderkey", "left_semi"), FULL, F.lit(0)).select("l_orderkey", "x", "y", *rgb6(RGB()))
+def _sql_marked(src: str) -> str:
+    """CTE ov over ``src``, which has mr, mg, mb, t, x, y; ov has vr, vg, vb."""
+    ms = "(floor(t * 1000) / 1000)"
+    cap = " OR ".join(f"({ms} >= {a}e0" + (f" AND {ms} < {b}e0)" if b else ")") for a, b in CAPTIONS)
+    key = "least(1e0, greatest(0e0, CASE WHEN t <= 0 THEN 0.2e0 WHEN t >= 4000 THEN 1e0 ELSE 0.2e0 + 0.8e0 * t / 4000 END))"
+    o1 = "(CASE WHEN x < 60 AND y < 30 THEN 0.4e0 ELSE 0e0 END)"
+    o2 = f"(CASE WHEN t >= 500 AND t < 3000 THEN 0.9e0 * {key} ELSE 0e0 END)"
+    return (f"c1 AS (SELECT *, {', '.join(f'CASE WHEN {cap} THEN 0.9e0 + 0.1e0 * m{c} ELSE m{c} END AS q{c}' for c in 'rgb')} FROM {src}), "
+            f"c2 AS (SELECT *, {', '.join(f'{k}e0 * {o1} + (1 - 0.5e0 * {o1}) * q{c} AS w{c}' for c, k in zip('rgb', LAYERS[0].rgb))} FROM c1), "
+            f"ov AS (SELECT *, {', '.join(f'{k}e0 * {o2} + (1 - 0.8e0 * {o2}) * w{c} AS v{c}' for c, k in zip('rgb', LAYERS[1].rgb))} FROM c2)")
 
 
-@query(f"{PX}, {SQL_LOOK} SELECT CAST(l_orderkey % 3 AS INT) AS chunk, l_orderkey, x, y, {', '.join(f'{R(f'g{c}')} AS {c}' for c in 'rgb')} FROM g3")
-def pipeline_chunk(spark, d):
-    """Chunks keep only the grade; each pixel is independent, so chunked and whole renders are equal."""
-    p = pixels(spark, d).withColumn("chunk", (F.col("l_orderkey") % 3).cast("int"))
-    return render.render(p, FULL.grade_only(), _seed()).select("chunk", "l_orderkey", "x", "y", *rgb6(RGB()))
-
-
-@query(f"""{TL}, sh AS (SELECT em.*, hb.b_value, hb.progress FROM em LEFT JOIN hb USING (event_id)),
-px AS (SELECT event_id, kind_out, kind_in, d_out, d_in, pts, duration, out_pts, progress, value / 500 AS r, 1 - value / 500 AS g, 0.5e0 AS b, b_value / 500 AS vb, out_pts AS t FROM sh),
-bt AS (SELECT *, {SQL_TRACK} AS bright FROM px),
-{sql_grade('bright', '1.2e0', '0.8e0', '0e0', src='bt')},
-fa AS (SELECT event_id, progress, kind_out, vb, bright, gr AS ar, gg AS ag, gb AS ab,
-  least(1e0, greatest(CASE WHEN kind_out = 'dipToBlack' AND pts > duration - d_out / 2 THEN (pts - (duration - d_out / 2)) / (d_out / 2) ELSE 0e0 END, CASE WHEN kind_in = 'dipToBlack' AND pts < d_in / 2 THEN 1 - pts / (d_in / 2) ELSE 0e0 END)) AS dark FROM g3),
-bb AS (SELECT event_id AS id, bright AS bright2, vb AS r2, 1 - vb AS g2, 0.5e0 AS b2 FROM fa),
-{sql_grade('bright2', '1.2e0', '0.8e0', '0e0', rgb=('r2', 'g2', 'b2'), src='bb').replace('g1 AS', 'h1 AS').replace('g2 AS (', 'h2 AS (').replace('g3 AS', 'h3 AS').replace('FROM g1', 'FROM h1').replace('FROM g2', 'FROM h2')},
-mx AS (SELECT event_id, dark, {', '.join(f"CASE WHEN progress IS NULL THEN a{c} ELSE a{c} + (g{c} - a{c}) * progress END AS m{c}" for c in 'rgb')} FROM fa JOIN h3 ON id = event_id),
-ov AS (SELECT event_id, dark, {', '.join(f"{k}e0 * 0.5e0 * 0.4e0 + (1 - 0.5e0 * 0.4e0) * m{c} AS v{c}" for c, k in zip('rgb', (0.9, 0.7, 0.1)))} FROM mx)
-SELECT event_id, {', '.join(f'{R(f"(1 - dark) * v{c}")} AS {c}' for c in 'rgb')} FROM ov""")
+_SQL_DARK = """least(1e0, greatest(0e0, CASE WHEN t < 24 THEN 1 - t / 24 ELSE 0e0 END, CASE WHEN t > total - 36 THEN (t - (total - 36)) / 36 ELSE 0e0 END,
+  CASE WHEN kind_out = 'dipToBlack' AND d_out > 0 AND pts > duration - d_out / 2 THEN (pts - (duration - d_out / 2)) / (d_out / 2) ELSE 0e0 END, CASE WHEN kind_in = 'dipToBlack' AND d_in > 0 AND pts < d_in / 2 THEN 1 - pts / (d_in / 2) ELSE 0e0 END))"""
+
+
+def _main_of(v: Column, seed: Column) -> color.RGB:
+    return render.main_pass((v, 1 - v, F.lit(0.5)), FRAME_LOOK, F.col("x"), F.col("y"), seed, True)
+
+
+def _sql_main(value: str, src: str, seed: str, tag: str) -> str:
+    """CTEs that end in {tag}_n2 with kr, kg, kb: the main pass over a value of ``src``, which has bright, x, y."""
+    ctes = f"px_ AS (SELECT *, {value} AS r, 1 - {value} AS g, 0.5e0 AS b FROM {src}), " + sql_grade("bright", "1.2e0", "0.8e0", "0e0", src="px_") + ", " + sql_texture(seed)
+    for name in ("px_", "g1", "g2", "g3", "n1", "n2"):
+        ctes = ctes.replace(f"{name} AS (", f"{tag}_{name} AS (").replace(f"FROM {name})", f"FROM {tag}_{name})")
+    return ctes
+
+
+@query(f"""{TL}, tt AS (SELECT max(offs + duration) AS total FROM tl),
+sh AS (SELECT em.*, hb.b_value, CASE WHEN em.kind_out = 'slideLeft' THEN pow(hb.progress, 3) ELSE hb.progress END AS progress, row_number() OVER (ORDER BY em.seg_idx, em.pts, event_id) AS seed FROM em LEFT JOIN hb USING (event_id)),
+bt AS (SELECT event_id, kind_out, kind_in, d_out, d_in, pts, duration, out_pts AS t, total, progress, seed, value / 500 AS va, b_value / 500 AS bv, event_id % 100 AS x, event_id % 37 AS y, (event_id % 100 + 0.5e0) / 100 AS u, (event_id % 37 + 0.5e0) / 37 AS v FROM sh, tt),
+br AS (SELECT *, {SQL_TRACK} AS bright FROM bt),
+{_sql_main('va', 'br', 'seed', 'a')}, am AS (SELECT * EXCLUDE (kr, kg, kb, r, g, b, cr, cg, cb, sr, sg, sb, gr, gg, gb, nr, ng, nb), kr AS ar, kg AS ag, kb AS ab FROM a_n2),
+{_sql_main('bv', 'am', 'seed', 'b')},
+wp AS (SELECT *, 1 - v AS swept, -0.04e0 + 1.08e0 * progress AS edge FROM b_n2), wz AS (SELECT *, {c01('(swept - (edge - 0.04e0)) / 0.08e0')} AS z, u + (1 - progress) AS bu FROM wp),
+mx AS (SELECT *, {', '.join(f"CASE WHEN progress IS NULL THEN a{c} WHEN kind_out = 'crossfade' THEN a{c} + (k{c} - a{c}) * progress WHEN kind_out = 'wipeUp' THEN a{c} + (k{c} - a{c}) * (1 - z * z * (3 - 2 * z)) WHEN bu >= 0 AND bu <= 1 THEN k{c} ELSE a{c} END AS m{c}" for c in 'rgb')} FROM wz),
+{_sql_marked('mx')}, dk AS (SELECT *, {_SQL_DARK} AS dark FROM ov)
+SELECT event_id, {', '.join(f'{R(f"(1 - dark) * v{c}", 5)} AS {c}' for c in 'rgb')} FROM dk""")
 def pipeline_frame(spark, d):
-    """Frames end to end: placed, deduplicated, graded by tracks, blended (all overlaps as crossfades), overlaid, dipped to black."""
-    p, f = placed(spark, d)
+    """Frames end to end: placed, deduplicated, numbered; tracks; the main pass of both sides; each transition's own blend; captions; overlays; fades."""
+    f = frames(spark, d)
+    s = slots(f)
+    p = timeline.on_timeline(f, timeline.as_table(spark, s))
     b = timeline.blended(p, f, width=10.0).select("event_id", F.col("b.value").alias("b_value"), "progress")
-    s = render.with_tracks(timeline.emitted(p).join(b, "event_id", "left"), TRACKED, F.col("out_pts"))
-    look = lambda v: render.main_pass((v, 1 - v, F.lit(0.5)), TRACKED, F.lit(0), F.lit(0), F.lit(1), True)
-    dark = F.least(F.lit(1.0), transitions.dip(*(F.col(c) for c in ("pts", "duration", "kind_out", "d_out", "kind_in", "d_in"))))
-    out = []
-    for a, bb, k in zip(look(_U()), look(F.col("b_value") / 500), (0.9, 0.7, 0.1)):
-        mixed = F.when(F.col("progress").isNull(), a).otherwise(transitions.crossfade(a, bb, F.col("progress")))
-        over = composite.over(mixed, F.lit(k) * 0.5, F.lit(0.5), 0.4)
-        out.append(composite.over(over, F.lit(0.0), F.lit(1.0), dark))
-    return s.select("event_id", *rgb6(out))
+    shown = timeline.frame_index(timeline.emitted(p), "event_id", 10.0).join(b, "event_id", "left")
+    u, v = _uv()
+    shown = shown.withColumns({"x": F.col("event_id") % 100, "y": F.col("event_id") % 37, "eased": easing.eased_by(F.col("ease_out"), F.col("progress"))})
+    shown = render.with_tracks(shown, FRAME_LOOK, F.col("out_pts"))
+    seed = F.col("frame_no") + 1
+    sides = {f"{side}{c}": v for side, value in (("a", _U()), ("b", F.col("b_value") / 500)) for c, v in zip("rgb", _main_of(value, seed))}
+    shown = shown.withColumns(sides)
+    a, b = (tuple(F.col(f"{side}{c}") for c in "rgb") for side in "ab")
+    mixed = render.transition_blend(a, b, F.col("kind_out"), u, v, F.when(F.col("progress").isNotNull(), F.col("eased")))
+    out = render.faded(_marked(shown.withColumns(dict(zip("rgb", mixed)))), render.fade_alpha(F.col("out_pts"), timeline.total_seconds(s), *FADES))
+    return out.select("event_id", *[r6(F.col(c), 5).alias(c) for c in "rgb"])
+
+
+PROBE_AT = (0.0, 123.25, 700.75, 2100.0, 100_000.0)
+
+
+@query(f"""{TL}, tt AS (SELECT max(offs + duration) AS total FROM tl), ask("at") AS (SELECT unnest([{', '.join(f'{t}e0' for t in PROBE_AT)}])),
+sg AS (SELECT "at", coalesce(max(seg_idx) FILTER (WHERE offs <= "at"), 0) AS seg_idx FROM ask, tl GROUP BY "at"),
+lo AS (SELECT sg."at", sg.seg_idx, greatest(0e0, least("at" - offs, duration - 0.001e0)) AS target FROM sg JOIN tl USING (seg_idx)),
+fd AS (SELECT lo."at", pl.*, row_number() OVER (PARTITION BY "at" ORDER BY pts, event_id) AS k FROM lo JOIN pl ON pl.seg_idx = lo.seg_idx AND pl.pts >= target),
+bt AS (SELECT "at", event_id, kind_out, kind_in, d_out, d_in, pts, duration, out_pts AS t, total, value / 500 AS va, event_id % 100 AS x, event_id % 37 AS y FROM fd, tt WHERE k = 1),
+br AS (SELECT *, {SQL_TRACK} AS bright FROM bt),
+{_sql_main('va', 'br', '1', 'a')}, mx AS (SELECT *, {', '.join(f'k{c} AS m{c}' for c in 'rgb')} FROM a_n2),
+{_sql_marked('mx')}, dk AS (SELECT *, {_SQL_DARK} AS dark FROM ov)
+SELECT "at", event_id, {', '.join(f'{R(f"(1 - dark) * v{c}", 5)} AS {c}' for c in 'rgb')} FROM dk""")
+def pipeline_probe(spark, d):
+    """Single frames as the whole pipeline shows them, without a blend and with the first frame's seed, 1."""
+    f = frames(spark, d)
+    s = slots(f)
+    p = timeline.on_timeline(f, timeline.as_table(spark, s))
+    at = spark.createDataFrame([(t,) for t in PROBE_AT], "at double")
+    want = timeline.probe_targets(timeline.segment_at(at, "at", s), s)
+    got = render.probes(p.join(F.broadcast(want), "seg_idx"), "at", "pts", F.col("target"), "event_id")  # five times
+    got = got.withColumns({"x": F.col("event_id") % 100, "y": F.col("event_id") % 37})
+    got = render.with_tracks(got, FRAME_LOOK, F.col("out_pts"))
+    out = _marked(got.withColumns(dict(zip("rgb", _main_of(_U(), F.lit(1))))))
+    out = render.faded(out, render.fade_alpha(F.col("out_pts"), timeline.total_seconds(s), *FADES))
+    return out.select("at", "event_id", *[r6(F.col(c), 5).alias(c) for c in "rgb"])
+
+
+@query(f"""{CH}, px AS (SELECT *, value / 500 AS r, 1 - value / 500 AS g, 0.5e0 AS b FROM ch), {SQL_LOOK}
+SELECT chunk, event_id, {R('out_pts - min(out_pts) OVER (PARTITION BY chunk)')} AS local, {', '.join(f'{R(f'g{c}')} AS {c}' for c in 'rgb')} FROM g3""")
+def pipeline_chunk(spark, d):
+    """The timeline in even chunks of time, each rebased and graded; chunks keep only the grade. Frames are independent, so chunked and whole renders are equal."""
+    c = chunks.rebased(_chunked(spark, d), "chunk", "out_pts", "event_id", 10.0)
+    c = c.withColumns({"r": _U(), "g": 1 - _U(), "b": F.lit(0.5), "x": F.lit(0), "y": F.lit(0)})
+    return render.render(c, MAIN.grade_only(), F.lit(1)).select("chunk", "event_id", r6(F.col("local")).alias("local"), *rgb6(RGB()))

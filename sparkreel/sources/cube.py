@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,15 @@ KEYWORDS = ("TITLE", "LUT_3D_SIZE", "LUT_1D_SIZE", "DOMAIN_MIN", "DOMAIN_MAX")
 
 
 def entries(lines: DataFrame, line: str = "line", no: str = "line_no") -> DataFrame:
-    """(ri, gi, bi, r, g, b) of numbered lines, red fastest. Comments, blank lines and keywords are skipped; domains are ignored."""
+    """(ri, gi, bi, r, g, b) of numbered lines, red fastest. Only lines that begin with three numbers count; comments, keywords, domains and others are skipped."""
     text = F.trim(F.col(line))
     word = F.upper(F.split(text, r"\s+")[0])
-    size = lines.filter(word == "LUT_3D_SIZE").select(F.split(text, r"\s+")[1].cast("int").alias("n"))
-    body = lines.filter((text != "") & ~text.startswith("#") & ~word.isin(*KEYWORDS))
     parts = F.split(text, r"\s+")
+    size = lines.filter(word == "LUT_3D_SIZE").select(F.get(parts, F.lit(1)).try_cast("int").alias("n")).filter("n is not null")
+    number = [F.get(parts, F.lit(k)).try_cast("double") for k in range(3)]
+    body = lines.filter(~text.startswith("#") & ~word.isin(*KEYWORDS) & number[0].isNotNull() & number[1].isNotNull() & number[2].isNotNull())
     # the file's rows are its one ordered list of n^3 entries, so they are numbered as a whole
-    rows = body.select(F.row_number().over(Window.orderBy(no)).alias("i"), *[parts[k].cast("double").alias(c) for k, c in enumerate("rgb")])
+    rows = body.select(F.row_number().over(Window.orderBy(no)).alias("i"), *[v.alias(c) for v, c in zip(number, "rgb")])
     d = rows.crossJoin(F.broadcast(size.limit(1))).withColumn("i", F.col("i") - 1)
     n = F.col("n")
     return d.select((F.col("i") % n).cast("int").alias("ri"), (F.floor(F.col("i") / n) % n).cast("int").alias("gi"), F.floor(F.col("i") / (n * n)).cast("int").alias("bi"), "r", "g", "b")
@@ -41,12 +44,11 @@ def parse_cube(text: str) -> tuple[int, list[tuple[float, float, float]]]:
         if not words or words[0].startswith("#"):
             continue
         if words[0].upper() in KEYWORDS:
-            n = int(words[1]) if words[0].upper() == "LUT_3D_SIZE" else n
+            n = int(words[1]) if words[0].upper() == "LUT_3D_SIZE" and words[1:2] and words[1].isdigit() else n
             continue
-        try:
-            rows.append(tuple(map(float, words[:3])))
-        except ValueError as e:
-            raise LutError(f"not a row of a table: {raw!r}") from e
+        with contextlib.suppress(ValueError):  # what is not three numbers is no row
+            row = tuple(map(float, words[:3]))
+            rows += [row] if len(row) == 3 else []
     if not n or len(rows) != n**3:
         raise LutError(f"{len(rows)} rows for size {n}")
     return n, rows

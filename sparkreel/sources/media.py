@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .spec import ImageError
+
 _TIME = r"(\d+):(\d+):(\d+(?:\.\d+)?)"
 
 
@@ -77,12 +79,12 @@ def parsed_log(line: Column) -> dict[str, Column]:
 
 
 def progress(lines: DataFrame, job: str, order: str) -> DataFrame:
-    """Frame lines (kind, src) with ``ratio``: how much of the source is done, by the newest meta line, else by the most seen so far."""
+    """Frame and done lines (kind, src) with ``ratio``: how much of the source is done, by the newest meta line, else by the most seen so far; 1 when done."""
     w = W.partitionBy(job).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     meta = F.last(F.when(F.col("kind") == "meta", F.col("src")), ignorenulls=True).over(w)
     most = F.max(F.when(F.col("kind") == "frame", F.col("src"))).over(w)
-    d = lines.withColumn("total", F.when(meta > 0, meta).otherwise(most)).filter("kind = 'frame' and total > 0")
-    return d.withColumn("ratio", F.least(F.lit(1.0), F.col("src") / F.col("total"))).drop("total")
+    d = lines.withColumn("total", F.when(meta > 0, meta).otherwise(most)).filter("kind = 'done' or (kind = 'frame' and total > 0)")
+    return d.withColumn("ratio", F.when(F.col("kind") == "done", 1.0).otherwise(F.least(F.lit(1.0), F.col("src") / F.col("total")))).drop("total")
 
 
 def png(width: int, height: int, rgb: bytes) -> bytes:
@@ -101,3 +103,55 @@ def png_rows(images: DataFrame) -> DataFrame:
             yield pdf.assign(png=[png(w, h, rgb) for w, h, rgb in zip(pdf.width, pdf.height, pdf.rgb)])[["frame_no", "png"]]
 
     return images.select("frame_no", "width", "height", "rgb").mapInPandas(run, "frame_no bigint, png binary")
+
+
+def unpng(data: bytes) -> tuple[int, int, bytes]:
+    """(width, height, RGBA bytes, premultiplied) of an 8-bit RGB or RGBA PNG without interlace. Raises ImageError for anything else."""
+    try:
+        if data[:8] != b"\x89PNG\r\n\x1a\n":
+            raise ValueError("no PNG")
+        at, head, body = 8, b"", b""
+        while at < len(data):
+            (n,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
+            head, body = (data[at + 8 : at + 8 + n] if kind == b"IHDR" else head), body + (data[at + 8 : at + 8 + n] if kind == b"IDAT" else b"")
+            at += 12 + n
+        w, h, depth, colour, _, _, lace = struct.unpack(">IIBBBBB", head)
+        size = {2: 3, 6: 4}[colour]
+        if depth != 8 or lace:
+            raise ValueError("8 bits a channel and no interlace are needed")
+        raw, before, rows = zlib.decompress(body), bytearray(w * size), []
+        for y in range(h):
+            kind, line = raw[y * (w * size + 1)], bytearray(raw[y * (w * size + 1) + 1 : (y + 1) * (w * size + 1)])
+            for i in range(len(line)):
+                left, up, corner = (line[i - size] if i >= size else 0), before[i], (before[i - size] if i >= size else 0)
+                guess = left + up - corner
+                near = min((left, up, corner), key=lambda v: abs(guess - v))
+                line[i] = (line[i] + (0, left, up, (left + up) // 2, near)[kind]) & 255
+            rows.append(line)
+            before = line
+        out = bytearray()
+        for line in rows:
+            for i in range(0, len(line), size):
+                alpha = line[i + 3] if size == 4 else 255
+                out += bytes([*((c * alpha + 127) // 255 for c in line[i : i + 3]), alpha])
+        return w, h, bytes(out)
+    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+        raise ImageError(str(e)) from e
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, width, height, rgba binary, error): image files, decoded where they lie; ``error`` tells why one did not."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for p, data in zip(pdf.path, pdf.content):
+                try:
+                    out.append((p, *unpng(bytes(data)), None))
+                except ImageError as e:
+                    out.append((p, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["path", "width", "height", "rgba", "error"]).astype({"width": "Int32", "height": "Int32"})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, width int, height int, rgba binary, error string")

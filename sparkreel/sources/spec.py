@@ -25,6 +25,18 @@ class NoFrame(RenderError):
     """A probe found no frame at or after its time."""
 
 
+class DecodeError(RenderError):
+    """An input that cannot be read as frames."""
+
+
+class NoVideo(RenderError):
+    """An input that has no frames."""
+
+
+class ImageError(RenderError):
+    """An image that does not decode."""
+
+
 class LutError(RenderError):
     """A lookup table that does not parse."""
 
