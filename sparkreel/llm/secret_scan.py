@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,10 +78,11 @@ def _linked(text: str, base: list[tuple[int, int, int]], reach: int | None) -> l
     if not access and not ends:
         return []
     taken = sorted((s, e) for s, _, e in [*base, *ends])
+    reached = list(accumulate((e for _, e in taken), max))  # how far the spans that start before reach
     weak = []
     for m in _WEAK.finditer(text):
         at = bisect_left(taken, (m.end(),))
-        if not any(e > m.start() for _, e in taken[max(0, at - 4) : at]) and _random(m[0]):
+        if not (at and reached[at - 1] > m.start()) and _random(m[0]):
             weak.append((m.start(), 3, m.end()))
     cuts = [m.start() for m in _BLANK.finditer(text)]
     scope = {s[0]: bisect_left(cuts, s[0]) for s in [*base, *weak, *ends]}
@@ -127,14 +129,25 @@ def spans_text(spans) -> F.Column:
 
 
 def redacted(df: DataFrame, text: str = "text", spans: str = "spans", mask: str = "[secret]") -> DataFrame:
-    """``df`` with each span of ``text`` replaced by ``mask``; overlapping spans become one."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    step = lambda acc, s: F.struct(
-        F.when(s["end"] <= acc["at"], acc["out"])
-        .when(s["start"] < acc["at"], acc["out"])
-        .otherwise(F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask)))
-        .alias("out"),
-        F.greatest(s["end"], acc["at"]).alias("at"),
-    )
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text)))
-    return df.withColumn(text, F.when(F.size(spans) > 0, F.aggregate(F.col(spans), start, step, tail)).otherwise(F.col(text)))
+    """``df`` with each span of ``text`` replaced by ``mask``; overlapping spans become one. One pass over each text."""
+    at, marks = df.columns.index(text), df.columns.index(spans)
+
+    def masked(t: str | None, found: list[dict] | None) -> str | None:
+        if not found:
+            return t
+        out, end = [], 0
+        for s in sorted(found, key=lambda s: s["start"]):
+            if s["start"] >= end:
+                out += [t[end : s["start"]], mask]
+            end = max(end, s["end"])
+        return "".join([*out, t[end:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                new = [masked(t, s) for t, s in zip(part.column(at).to_pylist(), part.column(marks).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
