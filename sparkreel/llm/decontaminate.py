@@ -36,6 +36,8 @@ SHARE = 0.8
 LEAST_WORDS = 5
 #: Words of the benchmark that one pass holds, on the driver and in each task (about 100 bytes a word).
 BLOCK_WORDS = 1 << 20
+#: Pairs of runs of seeds that are expanded at once.
+PIECE = 1 << 18
 _FILTER_BITS = 20
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
@@ -56,14 +58,22 @@ def seed_hashes(h: np.ndarray, row: np.ndarray, mask: str, salt: int) -> tuple[n
     return at, out[at] ^ (out[at] >> _U(29))
 
 
+def _runs(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, first, last) of runs of equal seeds at neighbouring words: a word that is repeated on and on is one run."""
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(new)
+    return s[first], at[first], at[np.append(first[1:], len(s)) - 1] if len(s) else at
+
+
 @dataclass
 class Benchmark:
-    """A block of items: hashes of all their words, and the sorted seeds with the words they start at."""
+    """A block of items: hashes of all their words, and for each mask the sorted seeds as runs, and a filter."""
 
     item_id: np.ndarray
     first: np.ndarray
     h: np.ndarray
-    seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, item_id: np.ndarray, counts: np.ndarray, h: np.ndarray) -> Benchmark:
@@ -74,32 +84,44 @@ class Benchmark:
             order = np.argsort(s, kind="stable")
             near = np.zeros(1 << _FILTER_BITS, bool)
             near[s >> _U(64 - _FILTER_BITS)] = True
-            seeds.append((s[order], at[order], near))
+            seeds.append((*_runs(s[order], at[order]), near))
         return cls(item_id, np.concatenate(([0], np.cumsum(counts))), h, seeds)
 
     def leaks(self, h: np.ndarray, row: np.ndarray, rows: int, window: int, share: float) -> list[list[tuple[int, int, int, int]]]:
         """(item, first word, words, equal words) of the best stretch of each item that leaks, for each row."""
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in range(rows)]
-        found = []
+        names = [np.zeros(0, np.int64)]
+        span = len(h) + len(self.h) + 1  # a diagonal is a number below this, and one text has rows x items of such
         for k, mask in enumerate(MASKS):
-            s, start, near = self.seeds[k]
+            s, first, last, near = self.seeds[k]
             at, got = seed_hashes(h, row, mask, k + 1)
             maybe = np.flatnonzero(near[got >> _U(64 - _FILTER_BITS)])
-            at, got = at[maybe], got[maybe]
+            got, i0, i1 = _runs(got[maybe], at[maybe])
             lo, hi = np.searchsorted(s, got), np.searchsorted(s, got, side="right")
-            many = hi - lo
-            i = np.repeat(at, many)
-            j = start[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
-            found.append(np.stack((row[i], np.searchsorted(self.first, j, side="right") - 1, i - j)))
-        diagonals = np.unique(np.concatenate(found, axis=1), axis=1)
+            total = np.cumsum(hi - lo)
+            cut = [0]  # runs in pieces that meet a bounded number of the benchmark's, each reduced to its diagonals
+            while cut[-1] < len(got):
+                done = total[cut[-1] - 1] if cut[-1] else 0
+                cut.append(max(cut[-1] + 1, int(np.searchsorted(total, done + PIECE, side="right"))))
+            for p, q in zip(cut, cut[1:]):
+                n = hi[p:q] - lo[p:q]
+                x = np.repeat(np.arange(p, q), n)
+                y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[p:q], n)
+                # two runs of equal seeds meet on all diagonals from one end to the other
+                low, many = i0[x] - last[y], i1[x] - i0[x] + last[y] - first[y] + 1
+                which = row[i0[x]] * len(self.item_id) + np.searchsorted(self.first, first[y], side="right") - 1
+                shift = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - low, many)
+                names.append(np.unique(np.repeat(which, many) * span + shift + len(self.h)))
+        which, shift = np.divmod(np.unique(np.concatenate(names)), span)
+        diagonals = np.stack((*np.divmod(which, max(len(self.item_id), 1)), shift - len(self.h)))
         begins = np.searchsorted(row, np.arange(rows + 1))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for r, item, shift in diagonals.T.tolist():
             a, b = int(self.first[item]), int(self.first[item + 1])
             lo, hi = max(a + shift, int(begins[r])), min(b + shift, int(begins[r + 1]))
             w = min(window, b - a)
-            if hi - lo < w or b - a < LEAST_WORDS:
-                continue
+            if hi - lo < w or b - a < LEAST_WORDS or best.get((r, item), (0,))[0] >= hi - lo:
+                continue  # no room, or a stretch with as many equal words as this diagonal can have is known
             same = np.concatenate(([0], np.cumsum(h[lo:hi] == self.h[lo - shift : hi - shift])))
             over = same - share * np.arange(len(same))  # a stretch agrees enough where this does not fall over it
             low = np.minimum.accumulate(over)[: len(over) - w]
@@ -109,7 +131,7 @@ class Benchmark:
             e = int(np.flatnonzero(gain >= -1e-9)[-1]) + w
             s = int(np.argmin(over[: e - w + 1]))
             leak = (int(same[e] - same[s]), lo + s - int(begins[r]), e - s)
-            best[r, item] = max(best.get((r, item), leak), leak)
+            best[r, item] = max(best.get((r, item), leak), leak, key=lambda x: (x[0], -x[1]))
         for (r, item), (matched, s, n) in sorted(best.items()):
             out[r].append((int(self.item_id[item]), s, n, matched))
         return out
@@ -154,9 +176,11 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", window: int =
     """``df`` with ``leaks``: array<struct<item_id, start, words, matched>>, the items that the text leaks.
 
     ``start`` and ``words`` give the stretch in words of the document, ``matched`` its words that agree. One row
-    per input row with all its columns; null and empty texts leak nothing; with an empty benchmark nothing does. ``df``
-    must not have a column ``leaks``.
+    per input row with all its columns; null and empty texts leak nothing; with an empty benchmark nothing does. Raises
+    ValueError where ``df`` has a column ``leaks`` already. Of stretches of an item with equally many equal words the first counts.
     """
+    if "leaks" in df.columns:
+        raise ValueError("df has a column leaks already")
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("item_id", "start", "words", "matched")]))
     small_batches(df.sparkSession)
     out = df.withColumn("leaks", F.array().cast(LEAK))
