@@ -119,8 +119,8 @@ def _sizes(rule: Rule):
             for lo, hi, data, offs in rounds(b.column(1)):
                 row, s = sets(data, offs, rule.k)
                 n, key = _digest(row, s, hi - lo)
-                cols = [b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(key, mask=n == 0), pa.array(_profiles(row, s, hi - lo), pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "key", "profile"])
+                cols = [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(key, mask=n == 0), pa.array(_profiles(row, s, hi - lo), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h1", "n", "key", "profile"])
 
     return run
 
@@ -332,8 +332,8 @@ def _spot(col: str, n, salt: int) -> F.Column:
     return F.pmod(F.xxhash64(col, F.lit(salt)), n).cast("int")
 
 
-def groups(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``df``.
+def groups(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of ``df``; with ``hashed`` also ``h1``, the xxhash64 of its text, which tells rows of one id apart.
 
     ``component_id`` is the least doc_id that links lead to, itself included. A text with fewer than k words is
     one shingle, its whole sequence; null texts and texts without words are empty and link with nothing, each
@@ -341,7 +341,7 @@ def groups(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text"
     read, so their names cannot clash. Ids must be integers; a null id stays, and joins groups through its text only.
     """
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    known = staged(docs.mapInArrow(_sizes(rule), "doc_id bigint, n bigint, key bigint, profile binary"), "sets")
+    known = staged(docs.withColumn("h1", F.xxhash64("text")).mapInArrow(_sizes(rule), "doc_id bigint, h1 bigint, n bigint, key bigint, profile binary"), "sets")
     lists = docs.select("text").mapInArrow(_lists(rule), "list bigint, key bigint")
     lists = lists.repartition("list").sortWithinPartitions("list", "key")
     lists = staged(lists.mapInArrow(_shared, "list bigint, key bigint"), "lists")
@@ -376,7 +376,7 @@ def groups(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text"
     all_sets = staged(all_sets.select("key", "least", F.coalesce("component", "key").alias("component")), "labelled")
     least = all_sets.groupBy("component").agg(F.min("least").alias("component_id"))
     by_key = all_sets.join(least, "component").select("key", "component_id")
-    out = known.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = known.join(by_key, "key", "left").select("doc_id", *(["h1"] if hashed else []), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     for x in (stars, wanted, spread, near, links):
         dropped(x)
     return out

@@ -406,3 +406,12 @@ def test_op1_recall_in_families_of_variants(spark, variants, times):
             found += bool(got[i])
     print("families of", variants, "recall", found, "of", due)
     assert due > 60 and found >= 0.95 * due
+
+
+def test_pipeline_keeps_other_texts_of_a_copied_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b = "the same text of some words here " * 3, "another text that nothing else repeats at all " * 3
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (None, a, "en", "s", 1), (7, None, "en", "s", 1)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, d, SF).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (7, None)], key=str)
