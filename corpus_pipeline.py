@@ -29,12 +29,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each group that Jaccard links of 0.8 over five-word shingles make. Empty texts stay."""
-    found = staged(jaccard_join.groups(docs, jaccard_join.Rule(k=5, num=80)), "groups")
-    others = found.filter("component_id <> doc_id").select("doc_id")
-    small = others.count() <= jaccard_join.BROADCAST_IDS
-    kept = docs.join(F.broadcast(others) if small else others, "doc_id", "left_anti")
+    """One document, the one of least id, of each group that Jaccard links of 0.8 over five-word shingles make. Empty texts stay.
+
+    Rows are told apart by id and text: one that shares its id with a copy but has a text of its own stays. Of texts of
+    one group that share the least id, the one of least hash stays.
+    """
+    found = staged(jaccard_join.groups(docs, jaccard_join.Rule(k=5, num=80), hashed=True), "groups")
+    others = found.filter("component_id <> doc_id or (doc_id is null and component_id is not null)").select("doc_id", "h1")
     repeated = not found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
+    if repeated:
+        heads = found.filter("component_id = doc_id and n_shingles > 0")
+        first = heads.groupBy("doc_id").agg(F.min("h1").alias("first"))
+        others = others.unionByName(heads.join(first, "doc_id").filter("h1 <> first").select("doc_id", "h1"))
+    others = others.distinct().select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"))
+    small = others.count() <= jaccard_join.BROADCAST_IDS
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h1"))
+    kept = docs.join(F.broadcast(others) if small else others, same, "left_anti")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
