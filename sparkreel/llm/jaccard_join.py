@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components, least_labels
 from .shared import dropped, staged
-from .textnum import mix, rounds, shingles, words
+from .textnum import mix, rounds, shingles, trimmed, words
 
 _U = np.uint64
 #: Members of a pivot that one block holds, and members that one task compares with a pivot.
@@ -276,6 +276,8 @@ def _differences(rule: Rule):
                     out.append((pivot[i], key[i], len(s), d.tobytes(), bool(rule.linked(len(own), len(s), len(d)))))
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], ["pivot", "key", "n", "differ", "linked"])
+            out = raw = cols = None
+            trimmed()
 
     return run
 

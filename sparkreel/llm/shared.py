@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows that travel to and from Python at once, as rows may hold texts or sets of many kilobytes.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

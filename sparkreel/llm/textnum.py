@@ -6,6 +6,8 @@ so the per-byte cost is a handful of vector operations and no Python loop.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +60,14 @@ def rounds(texts: pa.Array, most_rows: int = 1 << 16) -> Iterator[tuple[int, int
         hi = min(max(lo + 1, int(np.searchsorted(offs, offs[lo] + ROUND, side="right")) - 1), lo + most_rows, len(texts))
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    if len(data) > ROUND // 8:
+        trimmed()
+
+
+def trimmed() -> None:
+    """Give free memory of this worker back, where the C library can: other steps run beside it."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def prefix_hash(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
