@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Idle, small_batches, with_fields
+from .textnum import trimmed
 
 SPACE = "▁"
 #: Segments that a worker remembers before it starts afresh, and characters that are indexed at once.
 MEMORY = 500_000
-INDEXED = 1 << 18
+INDEXED = 1 << 17
 _PAIR_MEMORY = 4_000_000
 _open: dict[str, PieceModel] = {}
 
@@ -137,12 +138,18 @@ class PieceModel:
         suffixes = view[order].view(f"<U{w}").ravel()
         lo = np.searchsorted(suffixes, self.pieces)
         hi = np.searchsorted(suffixes, self.pieces_end)
+        del suffixes, view
         many = hi - lo
         which = np.repeat(np.arange(len(many)), many)
         starts = order[np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+        del order
         self.relax(codes, starts, which)
+        del starts, which
         size = np.array(list(map(len, segments)))
         self.collect(segments, np.cumsum(size + 1) - size - 1, size)
+        self.last = np.zeros(0, np.int64)
+        if len(codes) > INDEXED // 8:
+            trimmed()
 
     def relax(self, codes: np.ndarray, starts: np.ndarray, which: np.ndarray) -> None:
         """Settle the last piece of every prefix of every segment, all segments at once, by length of the prefix.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import tempfile
 import threading
 import uuid
@@ -12,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructType
 
+from .textnum import trimmed
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session. Where it is unset: a new local folder in local mode, else one in the warehouse."""
@@ -94,5 +94,4 @@ class Idle:
             if self.users:
                 return
             self.empty()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library can, give the pages back
-            ctypes.CDLL(None).malloc_trim(0)
+        trimmed()

@@ -65,7 +65,8 @@ def rounds(texts: pa.Array, most_rows: int = 1 << 16) -> Iterator[tuple[int, int
 
 
 def trimmed() -> None:
-    """Give free memory of this worker back, where the C library can: other steps run beside it."""
+    """Give free memory of this worker back, Arrow's and, where the C library can, its own: other steps run beside it."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
