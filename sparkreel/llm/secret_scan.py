@@ -95,7 +95,19 @@ def _render(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), reach: int | None = None) -> DataFrame:
+def _masked(t: str | None, found: list[dict] | None, mask: str) -> str | None:
+    """A text with each span replaced; overlapping spans become one."""
+    if not found:
+        return t
+    out, end = [], 0
+    for s in sorted(found, key=lambda s: s["start"]):
+        if s["start"] >= end:
+            out += [t[end : s["start"]], mask]
+        end = max(end, s["end"])
+    return "".join([*out, t[end:]])
+
+
+def scan_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), reach: int | None = None, mask: str | None = None) -> DataFrame:
     """``keep`` columns, ``base`` and ``spans``: arrays of struct<kind, start, end>, by start and then kind.
 
     Offsets are code points, ends exclusive. ``base`` has the kinds assign, access and hex, ``spans`` also the
@@ -103,6 +115,7 @@ def scan_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     not kept are not read.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    names = [*keep, "base", "spans", *["masked"] * (mask is not None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
@@ -110,17 +123,21 @@ def scan_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 base, every = [], []
-                for t in part.column(len(keep)).to_pylist():
+                texts = part.column(len(keep)).to_pylist()
+                for t in texts:
                     found = _base(t or "")
                     base.append(row(found))
                     every.append(row(sorted(found + _linked(t or "", found, reach))))
                 cols = [part.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(base, kind), pa.array(every, kind)], [*keep, "base", "spans"])
+                cols += [pa.array(base, kind), pa.array(every, kind)]
+                if mask is not None:
+                    cols.append(pa.array([_masked(t, s, mask) for t, s in zip(texts, every)], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     small_batches(df.sparkSession)
     src = df.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return src.mapInArrow(run, with_fields(src.schema[:-1], base=span, spans=span))
+    return src.mapInArrow(run, with_fields(src.schema[:-1], base=span, spans=span, **{"masked": "string"} if mask is not None else {}))
 
 
 def spans_text(spans) -> F.Column:
@@ -132,21 +149,11 @@ def redacted(df: DataFrame, text: str = "text", spans: str = "spans", mask: str
     """``df`` with each span of ``text`` replaced by ``mask``; overlapping spans become one. One pass over each text."""
     at, marks = df.columns.index(text), df.columns.index(spans)
 
-    def masked(t: str | None, found: list[dict] | None) -> str | None:
-        if not found:
-            return t
-        out, end = [], 0
-        for s in sorted(found, key=lambda s: s["start"]):
-            if s["start"] >= end:
-                out += [t[end : s["start"]], mask]
-            end = max(end, s["end"])
-        return "".join([*out, t[end:]])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                new = [masked(t, s) for t, s in zip(part.column(at).to_pylist(), part.column(marks).to_pylist())]
+                new = [_masked(t, s, mask) for t, s in zip(part.column(at).to_pylist(), part.column(marks).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
 
     small_batches(df.sparkSession)

@@ -111,6 +111,8 @@ def test_parts_link_only_together(spark):
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.scan_secrets(docs(spark, texts)).collect()}
     assert got == {0: ["access", "linked"], 1: [], 2: ["access"], 3: ["access"], 4: ["linked", "endpoint"], 5: []}
     masked = secret_scan.redacted(secret_scan.scan_secrets(docs(spark, texts), keep=("doc_id", "text"))).collect()
+    once = secret_scan.scan_secrets(docs(spark, texts), mask="[secret]").select("doc_id", "masked").collect()
+    assert {r["doc_id"]: r["masked"] for r in once} == {r["doc_id"]: r["text"] for r in masked}
     assert masked[0]["text"] == "[secret]\n[secret]" and masked[1]["text"] == key
 
 
