@@ -56,10 +56,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret in their texts replaced by a mask; ``n_chars`` follows the text."""
-    masked = secret_scan.redacted(secret_scan.scan_secrets(carried(docs), keep=("doc", "text")))
-    new = {"text": F.col("text")}
+    masked = secret_scan.scan_secrets(carried(docs), keep=("doc",), mask="[secret]")
+    new = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.length("masked").cast(docs.schema["n_chars"].dataType)
     return masked.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
