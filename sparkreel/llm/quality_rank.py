@@ -2,9 +2,9 @@
 
 Method: each document has a strength w.x, linear in its features; the chance
 that document i is preferred to j is sigmoid(w.(x_i - x_j)). The weights
-minimise the logistic loss of feature differences over preference pairs (a
-document labelled 1 against one labelled 0). The cut is a quantile of the
-training strengths: the share of label 0 among them. Strengths map to scores
+minimise the logistic loss of feature differences over all preference pairs (a
+document labelled 1 against one labelled 0) of all labelled documents. The cut
+is a quantile of the training strengths: the share of label 0 among them. Strengths map to scores
 in (0, 1) so that the cut has score ``CUT_SCORE``.
 
 Features are the square roots of the shares of pairs of neighbouring byte
@@ -14,7 +14,8 @@ Only the text is read for them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, with_fields
+from .shared import dropped, small_batches, staged, with_fields
+from .suffix_dedup import BROADCAST_IDS
 from .textnum import rounds
 
 #: The score at the cut between accepted and rejected documents.
 CUT_SCORE = 0.7
-#: At most so many labelled documents are used to fit; those with the least hash of their id.
-FIT_ROWS = 12_000
-#: Pairs that each document of the rarer label takes part in.
-PAIRS_EACH = 32
+#: Width of the cells of strengths in which rows meet the other label's, and the least relative gain of a step that leads to another.
+CELL = 1 / 16
+GAIN = 1e-4
 
 #: Byte classes. Punctuation marks that have a class of their own.
 _OWN = "!#$%&*|.,-_=+/\\:;?<>()[]{}\"'@~^`"
@@ -94,66 +95,246 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_pairs(x: np.ndarray, label: np.ndarray, l2: float = 1e-4, steps: int = 300, seed: int = 1) -> Ranking:
-    """Bradley-Terry by gradient descent on pairs. Without both labels nothing can be compared: every score is then CUT_SCORE."""
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(good) or not len(bad):
-        return Ranking(np.zeros(x.shape[1]), 0.0, 1.0)
-    scale, centre = np.maximum(x.std(0, dtype=np.float64), 1e-3), x.mean(0, dtype=np.float64)
-    z = x - centre.astype(x.dtype)
-    z /= scale.astype(x.dtype)
-    rng = np.random.default_rng(seed)
-    few, many = (bad, good) if len(bad) <= len(good) else (good, bad)
-    rest = np.concatenate([rng.permutation(many) for _ in range(-(-len(few) * PAIRS_EACH // len(many)))])[: len(few) * PAIRS_EACH]
-    i, j = (rest, np.repeat(few, PAIRS_EACH)) if few is bad else (np.repeat(few, PAIRS_EACH), rest)
-    w = np.zeros(x.shape[1], x.dtype)
-    mean, square = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        s = z @ w
-        g = 1 / (1 + np.exp(np.clip(s[i] - s[j], -50, 50)))  # the chance given to the wrong order
-        pull = np.bincount(i, g, len(z)) - np.bincount(j, g, len(z))
-        grad = -(pull.astype(x.dtype) @ z) / len(i) + l2 * w
-        mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
-        w -= 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
-    s = z @ w
-    order = np.sort(s)
-    k = min(max(len(bad), 1), len(s) - 1)  # the quantile: as many strengths below the cut as labels 0
-    cut = (order[k - 1] + order[k]) / 2
-    apart = max(np.median(s[good]) - np.median(s[bad]), 1e-6)
-    return Ranking(w / scale, cut + float((centre / scale) @ w), 8.0 / apart)
-
-
-def labelled_features(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``limit`` labelled documents (doc_id, text) x (doc_id, quality), chosen by a hash of the id.
-
-    A document with several labels has the least; null labels and ids are left out. The chosen ids are at most
-    ``limit``, so they are broadcast.
+#: Labels, numbers of features that are not 0, and those features, of some rows.
+_BLOCK = "y binary, size binary, at binary, x binary"
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _block(x: np.ndarray, label: np.ndarray) -> Block:
+    row, at = np.nonzero(x)
+    return label.astype(np.int8), np.bincount(row, minlength=len(x)).astype(np.int32), at.astype(np.uint16), x[row, at].astype(np.float32)
+
+
+def _each(rows: DataFrame | list[Block], work: Callable[[Iterator[Block]], tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """What ``work`` makes, as doubles, of each partition's blocks, in the order of partitions."""
+    if isinstance(rows, list):
+        return [work(iter(rows))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int8, np.int32, np.uint16, np.float32)
+        blocks = (tuple(np.frombuffer(c[i].as_buffer(), k) for c, k in zip(b.columns, kinds)) for b in batches for i in range(b.num_rows))
+        made = [v.astype(np.float64).tobytes() for v in work(blocks)]
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.list_(pa.binary()))], ["made"])
+
+    return [tuple(np.frombuffer(v, np.float64) for v in r["made"]) for r in rows.mapInArrow(run, "made array<binary>").collect()]
+
+
+def _moments(n: int):
+    """Sums and sums of squares of features, and rows of labels 0 and 1."""
+
+    def work(blocks: Iterator[Block]) -> tuple[np.ndarray, ...]:
+        one, two, count = np.zeros(n), np.zeros(n), np.zeros(2)
+        for y, _, at, x in blocks:
+            x = x.astype(np.float64)
+            one += np.bincount(at, x, n)
+            two += np.bincount(at, x * x, n)
+            count += np.bincount(y, minlength=2)[:2]
+        return one, two, count
+
+    return work
+
+
+def _strengths(block: Block, w: np.ndarray) -> np.ndarray:
+    _, size, at, x = block
+    return np.bincount(np.repeat(np.arange(len(size)), size), x * w[at], len(size))
+
+
+def _spread(w: np.ndarray, cell: float):
+    """(cell, rows of label 0, rows of label 1) of strengths on a grid. A row is shared by the cells on its two sides, by nearness."""
+
+    def work(blocks: Iterator[Block]) -> tuple[np.ndarray, ...]:
+        seen: dict[int, np.ndarray] = {}
+        for b in blocks:
+            s = _strengths(b, w) / cell
+            low = np.floor(s)
+            cells, code = np.unique(np.concatenate((low, low + 1)), return_inverse=True)
+            share = np.concatenate((low + 1 - s, s - low))
+            counts = np.stack([np.bincount(code, share * np.tile(b[0] == k, 2), len(cells)) for k in (0, 1)], 1)
+            for c, n in zip(cells.astype(int).tolist(), counts):
+                seen[c] = seen.get(c, 0) + n
+        keys = sorted(seen)
+        return (np.array(keys), *np.array([seen[k] for k in keys]).reshape(-1, 2).T)
+
+    return work
+
+
+def _pulled(w: np.ndarray, cell: float, first: int, pull: np.ndarray):
+    """The sum of features, each row's times ``pull`` of its label at its strength."""
+
+    def work(blocks: Iterator[Block]) -> tuple[np.ndarray, ...]:
+        out, grid = np.zeros(len(w)), np.arange(first, first + pull.shape[1]) * cell
+        for b in blocks:
+            s = _strengths(b, w)
+            each = np.where(b[0] == 1, np.interp(s, grid, pull[1]), np.interp(s, grid, pull[0]))
+            out += np.bincount(b[2], np.repeat(each, b[1]) * b[3], len(w))
+        return (out,)
+
+    return work
+
+
+def _inside(w: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """(strength, rows of label 0, of label 1) of the strengths in [lo, hi) of one of the intervals."""
+
+    def work(blocks: Iterator[Block]) -> tuple[np.ndarray, ...]:
+        values, labels = [np.zeros(0)], [np.zeros(0, np.int8)]
+        for b in blocks:
+            s = _strengths(b, w)
+            near = ((s[:, None] >= lo) & (s[:, None] < hi)).any(1)
+            values.append(s[near])
+            labels.append(b[0][near])
+        s, code = np.unique(np.concatenate(values), return_inverse=True)
+        return (s, *(np.bincount(code, np.concatenate(labels) == k, len(s)) for k in (0, 1)))
+
+    return work
+
+
+def _whole(w: np.ndarray, cell: float):
+    """(cell, rows of label 0, rows of label 1) of strengths, each row in the cell it lies in."""
+
+    def work(blocks: Iterator[Block]) -> tuple[np.ndarray, ...]:
+        seen: Counter[tuple[int, int]] = Counter()
+        for b in blocks:
+            seen.update(zip(np.floor(_strengths(b, w) / cell).astype(int).tolist(), b[0].tolist()))
+        keys = sorted({c for c, _ in seen})
+        return tuple(np.array(v, np.float64) for v in (keys, [seen[c, 0] for c in keys], [seen[c, 1] for c in keys]))
+
+    return work
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, rows of labels 0 and 1) of all partitions together."""
+    at, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return at, np.stack([np.bincount(code, np.concatenate([p[k] for p in parts]), len(at)) for k in (1, 2)])
+
+
+def _ranked(rows: DataFrame | list[Block], w: np.ndarray, wanted: list[tuple[tuple[int, ...], int]]) -> list[float]:
+    """Exact order statistics: the strength of each (labels, rank from 0). Only rows of the cells with those ranks are looked at one by one."""
+    at, counts = _summed(_each(rows, _whole(w, CELL)))
+    below = [np.cumsum(counts[list(k)].sum(0)) for k, _ in wanted]
+    cells = [int(np.searchsorted(n, r, side="right")) for n, (_, r) in zip(below, wanted)]
+    # cells are told apart by floor(strength / CELL), so a little more on both sides is read and cut by the same rule
+    values, rows_of = _summed(_each(rows, _inside(w, (at[cells] - 0.01) * CELL, (at[cells] + 1.01) * CELL)))
+    cell_of = np.floor(values / CELL)
+    out = []
+    for (kinds, rank), n, c in zip(wanted, below, cells):
+        mine = cell_of == at[c]
+        before = n[c - 1] if c else 0
+        out.append(float(values[mine][np.searchsorted(before + np.cumsum(rows_of[list(kinds)][:, mine].sum(0)), rank, side="right")]))
+    return out
+
+
+def fit_rows(rows: DataFrame | list[Block], n: int, l2: float = 1e-4, steps: int = 300) -> Ranking:
+    """Bradley-Terry over all pairs of a row labelled 1 and one labelled 0, by L-BFGS; each step is two passes over all rows.
+
+    What a row meets on the other side depends on the strengths there alone, so one pass counts them on a grid of
+    ``CELL`` and the next sums the features; no pair is made. Without both labels nothing can be compared: every score
+    is then CUT_SCORE. The cut and the medians are exact order statistics of all rows.
+    """
+    parts = _each(rows, _moments(n)) or [(np.zeros(n), np.zeros(n), np.zeros(2))]
+    one, two, count = (sum(v) for v in zip(*parts))
+    if not count.all():
+        return Ranking(np.zeros(n), 0.0, 1.0)
+    total = count.sum()
+    scale = np.maximum(np.sqrt(np.maximum(two / total - (one / total) ** 2, 0)), 1e-3)
+
+    def spread(w: np.ndarray) -> tuple[float, tuple]:
+        """The loss, and what the pass for its gradient needs."""
+        at, counts = _summed(_each(rows, _spread(w / scale, CELL)))
+        first, length = int(at[0]), int(at[-1] - at[0]) + 1
+        grid = np.zeros((2, length))
+        grid[:, (at - at[0]).astype(int)] = counts
+        apart = np.arange(-length + 1, length) * CELL  # from a row of label 0 up to one of label 1
+        met = _convolved(grid[0], np.logaddexp(0, -apart))
+        wrong = 1 / (1 + np.exp(np.clip(apart, -500, 500)))
+        pull = np.stack((_convolved(grid[1], wrong[::-1]), -_convolved(grid[0], wrong))) / count.prod()
+        return float(met @ grid[1] / count.prod() + l2 / 2 * w @ w), (first, pull)
+
+    def gradient(w: np.ndarray, first: int, pull: np.ndarray) -> np.ndarray:
+        return sum(p[0] for p in _each(rows, _pulled(w / scale, CELL, first, pull))) / scale + l2 * w
+
+    w = np.zeros(n)
+    loss, seen = spread(w)
+    g = gradient(w, *seen)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d = -_curved(g, past)
+        step = 1.0 if past else 1 / max(np.sqrt(g @ g), 1e-12)
+        for _ in range(30):
+            new = w + step * d
+            new_loss, seen = spread(new)
+            if new_loss <= loss + 1e-4 * step * (g @ d):
+                break
+            step /= 2
+        else:
+            break
+        new_g = gradient(new, *seen)
+        past = [*past, (new - w, new_g - g)][-10:] if (new - w) @ (new_g - g) > 0 else past
+        done = loss - new_loss < GAIN * loss
+        w, g, loss = new, new_g, new_loss
+        if done:
+            break
+    w = w / scale
+    n0, n1 = int(count[0]), int(count[1])
+    k = min(n0, n0 + n1 - 1)  # the quantile: as many strengths below the cut as labels 0
+    middle = lambda label, m: [((label,), (m - 1) // 2), ((label,), m // 2)]
+    below, above, *mid = _ranked(rows, w, [((0, 1), k - 1), ((0, 1), k), *middle(0, n0), *middle(1, n1)])
+    apart = max((mid[2] + mid[3] - mid[0] - mid[1]) / 2, 1e-6)
+    return Ranking(w, (below + above) / 2, 8.0 / apart)
+
+
+def _convolved(count: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """At each place i the sum over j of count[j] * kernel[i - j], where kernel's middle is 0."""
+    n = len(count)
+    size = 1 << int(3 * n).bit_length()
+    return np.fft.irfft(np.fft.rfft(count, size) * np.fft.rfft(kernel, size), size)[n - 1 : 2 * n - 1]
+
+
+def _curved(g: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The gradient times the inverse curvature that past steps showed (L-BFGS)."""
+    q, used = g.copy(), []
+    for s, y in reversed(past):
+        a = (s @ q) / (s @ y)
+        q -= a * y
+        used.append(a)
+    if past:
+        s, y = past[-1]
+        q *= (s @ y) / (y @ y)
+    for (s, y), a in zip(past, reversed(used)):
+        q += (a - (y @ q) / (s @ y)) * s
+    return q
+
+
+def fit_pairs(x: np.ndarray, label: np.ndarray, l2: float = 1e-4, steps: int = 300) -> Ranking:
+    """``fit_rows`` of rows in memory."""
+    return fit_rows([_block(x, label)], x.shape[1], l2, steps)
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels and features of every labelled document (doc_id, text) x (doc_id, quality), as blocks of rows.
+
+    A document with several labels has the least; null labels and ids, and labels other than 0 and 1, are left out.
     """
-    chosen = (
-        labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    )
+    chosen = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label = b.column(1)
+            label = b.column(1).to_numpy()
             for lo, hi, data, offs in rounds(b.column(0), 1024):
-                x = features(data, offs).astype(np.float32)
-                rows = [r.tobytes() for r in x]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), label.slice(lo, hi - lo)], ["x", "y"])
-
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = found.select("text", F.col("quality").cast("int").alias("y")).mapInArrow(run, "x binary, y int").toArrow()
-    if not got.num_rows:
-        return np.zeros((0, N_FEATURES)), np.zeros(0, int)
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
-    order = np.lexsort(x.T[:8])  # the same order of rows, and so the same sums, in every run
-    return x[order], got.column("y").to_numpy()[order]
-
-
-def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Ranking:
-    """Fit on a bounded sample of labelled documents; the driver holds limit x N_FEATURES numbers."""
-    return fit_pairs(*labelled_features(docs, labels, limit))
+                made = _block(features(data, offs), label[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in made], ["y", "size", "at", "x"])
+
+    small_batches(docs.sparkSession)
+    few = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen, "doc_id")
+    return found.select("text", "y").mapInArrow(run, _BLOCK)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Ranking:
+    """Fit on every labelled document. Features are staged once; the driver holds sums of N_FEATURES numbers and grids of strengths."""
+    rows = staged(labelled_features(docs, labels), "features")
+    ranking = fit_rows(rows, N_FEATURES)
+    dropped(rows)
+    return ranking
 
 
 def score(df: DataFrame, ranking: Ranking, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -195,6 +195,37 @@ def test_quality_edges(spark):
     assert (r.score(x) >= quality_rank.CUT_SCORE).tolist() == [False, False, True, True]
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Of 13,000 labelled rows the last 800 in the order of hashes are the only ones of their kind."""
+    order = [r["id"] for r in spark.range(13_000).orderBy(F.xxhash64("id"), "id").collect()]
+    rng = random.Random(5)
+    rows = []
+    for k, i in enumerate(order):
+        good = rng.random() < 0.6
+        word = ("ab cd", "AB CD") if k < 12_200 else ("12 34", "[12] [34]")
+        rows.append((i, word[not good] * rng.randint(2, 6), int(good), k >= 12_200))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, quality int, late boolean")
+    ranking = quality_rank.fit(table, table.select("doc_id", "quality"))
+    got = {r["doc_id"]: r["score"] for r in quality_rank.score(table, ranking).collect()}
+    assert all((got[i] >= quality_rank.CUT_SCORE) == bool(y) for i, _, y, _ in rows)
+
+
+def test_quality_fit_is_that_of_all_pairs():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 5)).astype(np.float32)
+    y = (x @ np.array([1, -2, 0.5, 0, 0]) + rng.normal(size=400) > 0.7).astype(int)
+    r = quality_rank.fit_pairs(x, y)
+    s = r.strength(x)
+    wrong = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0][None]))
+    scale = x.std(0)
+    pull = ((wrong.sum(1) @ x[y == 1] - wrong.sum(0) @ x[y == 0]) / wrong.size - 1e-4 * r.weights * scale**2) * scale
+    assert np.abs(pull).max() < 3e-3, pull
+    order = np.sort(s)
+    assert r.cut == pytest.approx((order[(y == 0).sum() - 1] + order[(y == 0).sum()]) / 2)
+    halves = quality_rank.fit_rows([quality_rank._block(x[:150], y[:150]), quality_rank._block(x[150:], y[150:])], 5)
+    assert np.allclose(halves.weights, r.weights) and halves.cut == pytest.approx(r.cut)
+
+
 def test_parts_link_over_their_whole_scope():
     from sparkreel.llm import secret_scan
 
