@@ -12,9 +12,11 @@ Windows with one least hash form a list. In a list:
   of those left, each stretch of ``passage`` words is compared by name, so exact repeats never depend on pairs;
 - distinct windows meet where they agree in one more min-hash at least, of the ``SIDE`` tokens before or after c:
   a passage of 46 tokens around c has 22 of them on one side. All pairs of a group of at most ``SMALL`` windows are
-  made; a larger one is split by a second, third and fourth of these min-hashes, and what is larger still (all
-  windows agree in five min-hashes in place) chains each window to the group's first and preceding document, to those of
-  equal left side and to those of equal right side.
+  made; a larger one is first split by a second, third and fourth of these min-hashes and, where that does not help, chained;
+- windows of larger groups that the passages found so far do not cover whole then meet all windows of larger groups in their
+  list with which they share ``similar`` times ``width`` tokens near c: by the tokens that few of them have, and where only
+  common ones are shared, by classes of windows with the same common tokens in the same places. Each class is
+  represented by its first document. Nothing is dropped for the size of a group.
 
 Of the pairs of two documents, those whose window is not yet covered by exact
 repeats remain; overlapping intervals of all hash functions on diagonals near each
@@ -28,6 +30,7 @@ not certain; the tests measure its recall. Exact copies of a whole document are
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +55,8 @@ LIST_ROWS = 1 << 16
 #: Tokens on either side of a least hash of which min-hashes are taken, and windows of a group of which all pairs are made.
 SIDE = 22
 SMALL = 12
+#: Windows of a large group that may share a token whose pairs are all compared.
+RARE = 16
 _SALTS = mix(np.arange(1, HASHES + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
 _SIDE_SALTS = mix(np.arange(11, 13, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
 
@@ -169,6 +174,8 @@ _PAIR = "x bigint, xh bigint, y bigint, yh bigint, j int, xl int, xr int, yl int
 
 #: Marks of rows of ``_pairs`` that are no pairs: a repeated window, and a window whose parts may repeat.
 SAME, OPEN = -1, -2
+#: Another such mark: a window of a group too large for all its pairs, with the list's key in ``x`` and c in ``diagonal``.
+LARGE = -3
 
 
 def _neighbours(order: np.ndarray, classes: list[np.ndarray], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +187,10 @@ def _neighbours(order: np.ndarray, classes: list[np.ndarray], owner: np.ndarray)
     return order[x], order[np.concatenate((y, y))]
 
 
-def _meetings(key: np.ndarray, owner: np.ndarray, sides: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (x, y), x before y, of the distinct windows of lists, which come by key and document. ``owner`` numbers the documents."""
+def _meetings(key: np.ndarray, owner: np.ndarray, sides: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (x, y), x before y, of the distinct windows of lists, which come by key and document, and the windows of large groups.
+
+    ``owner`` numbers the documents."""
     n = len(key)
     at = np.arange(n)
     names = [(sub >> 16 * k) & 0xFFFF for k in range(4)]
@@ -214,7 +223,7 @@ def _meetings(key: np.ndarray, owner: np.ndarray, sides: np.ndarray, sub: np.nda
     x, y = (np.concatenate(v) for v in zip(*found))
     x, y = np.divmod(np.unique(x * n + y), n) if n else (x, y)
     apart = owner[x] != owner[y]
-    return x[apart], y[apart]
+    return x[apart], y[apart], np.flatnonzero(np.logical_or.reduce([large[k,] for k in range(4)]))
 
 
 def _list_pairs(cols: list[np.ndarray]) -> list[np.ndarray]:
@@ -240,9 +249,10 @@ def _list_pairs(cols: list[np.ndarray]) -> list[np.ndarray]:
     open_ = own & several[lists[order]] & (key[order] & 3 == 0)
     out.append(rows(order[open_], order[open_], mark(open_.sum(), OPEN)))
     one = np.sort(order[new])
-    i, j = _meetings(key[one], owner[one], sides[one], sub[one])
-    i, j = one[i], one[j]
+    i, j, many = _meetings(key[one], owner[one], sides[one], sub[one])
+    i, j, many = one[i], one[j], one[many]
     out.append(rows(i, j, key[j] & 3))
+    out.append([key[many], h1[many], doc[many], h1[many], mark(len(many), LARGE), l[many], r[many], l[many], r[many], c[many]])
     a, b, z = _lcr(done[3])
     out.append([done[5], done[2], done[1], done[2], mark(len(a), SAME), a - done[4], z - done[4], a, z, done[4]])
     return [np.concatenate(v).astype(t) for v, t in zip(zip(*out), [np.int64] * 4 + [np.int32] * 6)]
@@ -323,6 +333,118 @@ def _equal(width: int):
     return run
 
 
+_CROWD = "key bigint, doc_id bigint, h1 bigint, l int, c int, r int, needy boolean, tokens binary"
+
+
+def _crowd_rows(wide: int):
+    """The windows of large groups with their tokens, those within ``wide`` of c; ``needy`` if repeats known so far do not cover them whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _CROWD.split(", ")]
+        for b in batches:
+            for lo, hi, data, offs in rounds(b.column(2)):
+                s, row, _ = _tokens(data, offs)
+                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                owner, (key, l, c, r) = _flat(b.column(3).slice(lo, hi - lo), ("key", "l", "c", "r"))
+                of, (start, stop) = _flat(b.column(4).slice(lo, hi - lo), ("start", "stop"))
+                s32 = (mix(s) >> _U(32)).astype(np.uint32)
+                needy = ~_settled(of, start, stop, owner, l, r + 1)
+                first, end = np.maximum(cut[owner], cut[owner] + c - wide), np.minimum(cut[owner + 1], cut[owner] + c + wide + 1)
+                tokens = [s32[p:q].tobytes() for p, q in zip(first.tolist(), end.tolist())]
+                rows = pa.array(owner + lo)
+                cols = [pa.array(key), b.column(0).take(rows), b.column(1).take(rows), *(pa.array(v.astype(np.int32)) for v in (l, c, r)), pa.array(needy), pa.array(tokens, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return run
+
+
+def _crossings(owner: np.ndarray, c: np.ndarray, needy: np.ndarray, tokens: list[np.ndarray], lead: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y), x of an earlier document, of a list's windows with at least ``need`` tokens in common, for each needy y.
+
+    Pairs that share a token of at most RARE windows are all made. Where only more common tokens are shared, windows with
+    these in the same places are one class, of which the first document stands for all. ``lead``: the first token's place less c.
+    """
+    n, size = len(owner), np.array([len(t) for t in tokens])
+    row = np.repeat(np.arange(n), size)
+    names, code = np.unique(np.concatenate(tokens), return_inverse=True)
+    r, k = np.divmod(np.unique(row * len(names) + code), len(names))
+    many = np.bincount(k)
+    hot = many > RARE
+    pairs = np.zeros(0, np.int64)
+    rare = np.flatnonzero(~hot[k] & (many[k] > 1))
+    rare = rare[np.argsort(k[rare], kind="stable")]
+    for step in range(1, RARE):
+        hit = np.flatnonzero(k[rare[step:]] == k[rare[:-step]]) if step < len(rare) else rare[:0]
+        if not len(hit):
+            break
+        x, y = r[rare[hit]], r[rare[hit + step]]
+        good = needy[y] & (owner[x] != owner[y])
+        pairs = np.union1d(pairs, x[good] * n + y[good])
+    width = int(np.bincount(r).max())
+    table = np.repeat(np.arange(n)[:, None] + len(names), width, 1).astype(np.int64)  # padded with what no other row has
+    begin = np.searchsorted(r, np.arange(n))
+    table[r, np.arange(len(r)) - begin[r]] = k
+    pad = width - np.bincount(r, minlength=n)
+    kept = []
+    for lo in range(0, len(pairs), 4096):
+        x, y = np.divmod(pairs[lo : lo + 4096], n)
+        both = np.sort(np.concatenate((table[x], table[y]), 1), 1)
+        same = (both[:, 1:] == both[:, :-1]).sum(1) - np.maximum(pad[x] - 1, 0) - np.maximum(pad[y] - 1, 0)
+        kept.append(pairs[lo : lo + 4096][same >= need])
+    # classes by the common tokens and their places
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + lead[row]
+    sums = np.concatenate(([_U(0)], np.cumsum(np.where(hot[code], mix(names[code].astype(_U) ^ mix(place.astype(np.int64).view(_U))), _U(0)))))
+    end = np.cumsum(size)
+    pattern = sums[end] - sums[end - size]
+    enough = np.flatnonzero(np.bincount(r, hot[k], n) >= need)
+    _, rep, of = np.unique(pattern[enough], return_index=True, return_inverse=True)
+    rep = enough[rep]
+    number = np.cumsum(hot) - 1
+    wanted = [v[needy[v]] for v in np.split(enough[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(rep)))[:-1])] if len(rep) else []
+    stop = np.append(begin[1:], len(r))
+
+    def dense(some: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(some), int(hot.sum())), np.float32)
+        for i, w in enumerate(some.tolist()):
+            own = k[begin[w] : stop[w]]
+            out[i, number[own[hot[own]]]] = 1
+        return out
+
+    some = np.array([q for q, ys in enumerate(wanted) if len(ys)], np.int64)
+    for p in range(0, len(rep), 512):
+        left = dense(rep[p : p + 512])
+        for lo in range(0, len(some), 512):
+            j, i = np.nonzero(dense(rep[some[lo : lo + 512]]) @ left.T >= need)
+            cut = np.searchsorted(j, np.arange(len(some[lo : lo + 512]) + 1))
+            for q, a, z in zip(some[lo : lo + 512].tolist(), cut, cut[1:]):
+                x, y = np.repeat(rep[p + i[a:z]], len(wanted[q])), np.tile(wanted[q], z - a)
+                kept.append((x * n + y)[owner[x] < owner[y]])
+    return np.divmod(np.unique(np.concatenate(kept)), n) if kept else (r[:0], r[:0])
+
+
+def _crowds(need: int, wide: int):
+    """Lists of windows of large groups, sorted by key and document, as pairs of windows."""
+
+    def made(held: list[tuple]) -> pa.RecordBatch | None:
+        _, doc, h1, l, c, r, needy, raw = zip(*held)
+        doc, h1, l, c, r, needy = (np.array(v) for v in (doc, h1, l, c, r, needy))
+        owner = np.cumsum(np.concatenate(([True], (doc[1:] != doc[:-1]) | (h1[1:] != h1[:-1]))))
+        if not needy.any() or owner[-1] == 1:
+            return None
+        x, y = _crossings(owner, c, needy, [np.frombuffer(t, np.uint32) for t in raw], -np.minimum(c, wide), need)
+        cols = [doc[x], h1[x], doc[y], h1[y], np.zeros(len(x)), l[x], r[x], l[y], r[y], c[y] - c[x]]
+        return pa.RecordBatch.from_arrays([pa.array(v.astype(t)) for v, t in zip(cols, [np.int64] * 4 + [np.int32] * 6)], [f.split()[0] for f in _PAIR.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (x for b in batches for x in zip(*(v.to_pylist() for v in b.columns)))
+        for _, held in itertools.groupby(rows, key=lambda x: x[0]):
+            out = made(list(held))
+            if out is not None and out.num_rows:
+                yield out
+
+    return run
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats, sorted by document, source, diagonal and start, with those that overlap as one; places in words."""
     carried = None
@@ -578,6 +700,31 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[one]), pa.array(xh[one]), b.column(0).take(rows), b.column(1).take(rows), m], ["x", "xh", "y", "yh", "m"])
 
 
+def _known(exact: DataFrame) -> DataFrame:
+    return exact.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("start", (F.col("stop") - K + 1).alias("stop"))).alias("known"))
+
+
+def _near(first: DataFrame, pairs: DataFrame, exact: DataFrame, width: int, similar: float) -> DataFrame:
+    """Verified passages of pairs of windows; windows that ``exact`` covers whole are left out."""
+    candidates = pairs.groupBy(F.col("y").alias("doc_id"), F.col("yh").alias("h1")).agg(F.collect_list(F.struct("x", "xh", *_RANGE)).alias("w"))
+    merged = candidates.join(_known(exact), ["doc_id", "h1"], "left").select("doc_id", "h1", "w", "known")
+    merged = merged.mapInArrow(_ranges, "x bigint, xh bigint, y bigint, yh bigint, m array<struct<xl:int,xr:int,yl:int,yr:int,diagonal:int>>")
+    merged = staged(merged, "merged")
+    salts = merged.groupBy("x", "xh").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    units = merged.join(salts, ["x", "xh"]).withColumn("salt", F.pmod(F.xxhash64("y", "yh"), F.col("salts"))).withColumn("unit", F.xxhash64("x", "xh", "salt"))
+    pick = lambda c: F.transform("m", lambda m: m[c])
+    y_side = units.select(F.col("y").alias("doc_id"), F.col("yh").alias("h1"), F.struct("unit", F.lit(1).alias("side"), F.col("x").alias("source"), pick("yl").alias("start"), pick("yr").alias("stop"), pick("xl").alias("other"), F.transform("m", lambda m: m["yl"] - m["diagonal"] - m["xl"]).alias("shift")).alias("want"))
+    # what a unit needs of its first document: the longest range from each start
+    x_need = units.select("x", "xh", "unit", F.explode("m").alias("m")).groupBy("x", "xh", "unit", F.col("m.xl").alias("xl")).agg(F.max("m.xr").alias("xr"))
+    x_need = x_need.groupBy("x", "xh", "unit").agg(F.sort_array(F.collect_list(F.struct("xl", "xr"))).alias("m"))
+    x_side = x_need.select(F.col("x").alias("doc_id"), F.col("xh").alias("h1"), F.struct("unit", F.lit(0).alias("side"), F.col("x").alias("source"), pick("xl").alias("start"), pick("xr").alias("stop"), pick("xl").alias("other"), F.transform("m", lambda m: F.lit(0)).alias("shift")).alias("want"))
+    wanted = y_side.unionByName(x_side).groupBy("doc_id", "h1").agg(F.collect_list("want").alias("wanted"))
+    wanted = staged(wanted, "wanted")
+    parts = _narrow(first, wanted.select("doc_id").distinct()).join(wanted, ["doc_id", "h1"]).select("doc_id", "h1", "text", "wanted").mapInArrow(_parts, _PART)
+    parts = parts.repartition("unit").sortWithinPartitions("unit", "side")
+    return parts.mapInArrow(_verified(width, similar), "doc_id bigint, h1 bigint, start bigint, stop bigint, source bigint")
+
+
 def passages(df: DataFrame, passage: int = 50, similar: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, spans: one row per row of ``df``.
 
@@ -612,24 +759,16 @@ def passages(df: DataFrame, passage: int = 50, similar: float = 0.8, doc_id: str
     exact = exact.repartition("doc_id", "h1").sortWithinPartitions("doc_id", "h1", "source", "diagonal", "start")
     exact = staged(exact.mapInArrow(_joined, "doc_id bigint, h1 bigint, start bigint, stop bigint, source bigint"), "exact")
     dropped(windows)
-    candidates = pairs.filter("j >= 0").groupBy(F.col("y").alias("doc_id"), F.col("yh").alias("h1")).agg(F.collect_list(F.struct("x", "xh", *_RANGE)).alias("w"))
-    known = exact.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("start", (F.col("stop") - K + 1).alias("stop"))).alias("known"))
-    merged = candidates.join(known, ["doc_id", "h1"], "left").select("doc_id", "h1", "w", "known")
-    merged = merged.mapInArrow(_ranges, "x bigint, xh bigint, y bigint, yh bigint, m array<struct<xl:int,xr:int,yl:int,yr:int,diagonal:int>>")
-    merged = staged(merged, "merged")
-    salts = merged.groupBy("x", "xh").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-    units = merged.join(salts, ["x", "xh"]).withColumn("salt", F.pmod(F.xxhash64("y", "yh"), F.col("salts"))).withColumn("unit", F.xxhash64("x", "xh", "salt"))
-    pick = lambda c: F.transform("m", lambda m: m[c])
-    y_side = units.select(F.col("y").alias("doc_id"), F.col("yh").alias("h1"), F.struct("unit", F.lit(1).alias("side"), F.col("x").alias("source"), pick("yl").alias("start"), pick("yr").alias("stop"), pick("xl").alias("other"), F.transform("m", lambda m: m["yl"] - m["diagonal"] - m["xl"]).alias("shift")).alias("want"))
-    # what a unit needs of its first document: the longest range from each start
-    x_need = units.select("x", "xh", "unit", F.explode("m").alias("m")).groupBy("x", "xh", "unit", F.col("m.xl").alias("xl")).agg(F.max("m.xr").alias("xr"))
-    x_need = x_need.groupBy("x", "xh", "unit").agg(F.sort_array(F.collect_list(F.struct("xl", "xr"))).alias("m"))
-    x_side = x_need.select(F.col("x").alias("doc_id"), F.col("xh").alias("h1"), F.struct("unit", F.lit(0).alias("side"), F.col("x").alias("source"), pick("xl").alias("start"), pick("xr").alias("stop"), pick("xl").alias("other"), F.transform("m", lambda m: F.lit(0)).alias("shift")).alias("want"))
-    wanted = y_side.unionByName(x_side).groupBy("doc_id", "h1").agg(F.collect_list("want").alias("wanted"))
-    wanted = staged(wanted, "wanted")
-    parts = _narrow(first, wanted.select("doc_id").distinct()).join(wanted, ["doc_id", "h1"]).select("doc_id", "h1", "text", "wanted").mapInArrow(_parts, _PART)
-    parts = parts.repartition("unit").sortWithinPartitions("unit", "side")
-    found = parts.mapInArrow(_verified(width, similar), "doc_id bigint, h1 bigint, start bigint, stop bigint, source bigint")
+    near = _near(first, pairs.filter("j >= 0"), exact, width, similar)
+    near = staged(near, "near")
+    # windows of large groups that repeats found so far do not cover whole meet all others there that may be similar
+    wide, need = int(width / similar), math.ceil(similar * width - 1e-9) - 1  # one less, as tokens have 32 bits there
+    crowd = pairs.filter(F.col("j") == LARGE).groupBy(F.col("y").alias("doc_id"), F.col("yh").alias("h1")).agg(F.collect_list(F.struct(F.col("x").alias("key"), F.col("yl").alias("l"), F.col("diagonal").alias("c"), F.col("yr").alias("r"))).alias("windows"))
+    crowd = staged(crowd.join(_known(exact.unionByName(near)), ["doc_id", "h1"], "left").select("doc_id", "h1", "windows", "known"), "crowd")
+    rows = _narrow(first, crowd.select("doc_id").distinct()).join(crowd, ["doc_id", "h1"]).select("doc_id", "h1", "text", "windows", "known")
+    rows = rows.mapInArrow(_crowd_rows(wide), _CROWD).repartition("key").sortWithinPartitions("key", "doc_id", "h1", "c")
+    crossed = staged(rows.mapInArrow(_crowds(need, wide), _PAIR), "crossed")
+    found = near.unionByName(_near(first, crossed, exact.unionByName(near), width, similar))
     spans = found.unionByName(exact).groupBy("doc_id", "h1", "source").agg(F.collect_set(F.struct("start", "stop")).alias("s"))
     inside = lambda s: F.exists("s", lambda t: (t["start"] <= s["start"]) & (t["stop"] >= s["stop"]) & (t != s))
     spans = spans.select("doc_id", "h1", F.explode(F.filter("s", lambda s: ~inside(s))).alias("s"), "source").select("doc_id", "h1", "s.start", "s.stop", "source")
@@ -637,7 +776,8 @@ def passages(df: DataFrame, passage: int = 50, similar: float = 0.8, doc_id: str
     spans = staged(spans, "spans")
     dropped(exact)
     dropped(pairs)
-    dropped(wanted)
+    for table in (near, crowd, crossed):
+        dropped(table)
     out = base.join(spans, ["doc_id", "h1"], "left")
     empty = F.array().cast("array<struct<start:bigint,stop:bigint,source:bigint>>")
     return out.select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "n_words", F.coalesce("spans", empty).alias("spans"))

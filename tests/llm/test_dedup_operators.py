@@ -415,3 +415,52 @@ def test_pipeline_keeps_other_texts_of_a_copied_id(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, d, SF).collect()), key=str)
     assert got == sorted([(1, a), (5, b), (7, None)], key=str)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crossings_lose_no_pair_of_a_large_group(monkeypatch, seed):
+    monkeypatch.setattr(substring_dedup, "RARE", 3)
+    rng = np.random.default_rng(seed)
+    line, kinds = rng.integers(1, 1 << 32, 20, np.uint32), rng.integers(1, 1 << 32, (12, 40), np.uint32)
+    tokens = []
+    for i in range(90):
+        t = np.concatenate((kinds[i % 12][:20], line, kinds[i % 12][20:])) if i % 3 else np.concatenate((rng.integers(1, 1 << 32, 20, np.uint32), line, kinds[0][:20]))
+        at = rng.integers(0, 60, rng.integers(0, 12))
+        t[at] = rng.integers(1, 1 << 32, len(at), np.uint32)
+        tokens.append(t)
+    owner, needy = np.repeat(np.arange(45), 2), rng.random(90) < 0.8
+    x, y = substring_dedup._crossings(owner, np.full(90, 30), needy, tokens, np.full(90, -30), 36)
+    got = set(zip(x.tolist(), y.tolist()))
+    sets = [set(t.tolist()) for t in tokens]
+    df = {}
+    for v in sets:
+        for t in v:
+            df[t] = df.get(t, 0) + 1
+    pattern = [tuple(t if df[t] > 3 else 0 for t in v.tolist()) for v in tokens]
+    due = 0
+    for j in range(90):
+        for i in range(j):
+            if needy[j] and owner[i] != owner[j] and len(sets[i] & sets[j]) >= 36:
+                due += 1
+                rare = any(df[t] <= 3 for t in sets[i] & sets[j])
+                assert (i, j) in got or not rare and any((k, j) in got for k in range(i) if pattern[k] == pattern[i]), (i, j)
+    assert due > 100 and all(owner[i] < owner[j] and needy[j] and len(sets[i] & sets[j]) >= 36 for i, j in got)
+
+
+def test_op1_partners_in_groups_of_any_size(spark):
+    """The line is in all documents; each passage of one document is in one other, neither the list's first nor the one before."""
+    rng = random.Random(21)
+    word = lambda: "g%d" % rng.randrange(1_000_000_000)
+    line, half = [word() for _ in range(38)], 300
+    own = [([word() for _ in range(7)], [word() for _ in range(7)]) for _ in range(half)]
+    rows = []
+    for i in range(2 * half):
+        a, b = own[i % half]
+        middle = list(line)
+        if i >= half:
+            middle[rng.randrange(1, 37)] = word()
+        rows.append((i, " ".join([word() for _ in range(40)] + a + middle + b + [word() for _ in range(40)])))
+    got = {r["doc_id"]: r["spans"] for r in substring_dedup.passages(docs(spark, rows)).collect()}
+    found = sum(any(s["source"] == i - half for s in got[i]) for i in range(half, 2 * half))
+    print("found in a large group:", found, "of", half)
+    assert found >= 0.99 * half
