@@ -13,10 +13,11 @@ Windows with one least hash form a list. In a list:
 - distinct windows meet where they agree in one more min-hash at least, of the ``SIDE`` tokens before or after c:
   a passage of 46 tokens around c has 22 of them on one side. All pairs of a group of at most ``SMALL`` windows are
   made; a larger one is first split by a second, third and fourth of these min-hashes and, where that does not help, chained;
-- windows of larger groups that the passages found so far do not cover whole then meet all windows of larger groups in their
+- windows of larger groups that the passages found so far do not cover whole then meet the windows of larger groups in their
   list with which they share ``similar`` times ``width`` tokens near c: by the tokens that few of them have, and where only
   common ones are shared, by classes of windows with the same common tokens in the same places. Each class is
-  represented by its first document. Nothing is dropped for the size of a group.
+  represented by its first document. A window meets one after the other, the first documents first, until it is covered;
+  partners that could cover nothing of what is still open are passed over. Nothing is dropped for the size of a group.
 
 Of the pairs of two documents, those whose window is not yet covered by exact
 repeats remain; overlapping intervals of all hash functions on diagonals near each
@@ -333,11 +334,11 @@ def _equal(width: int):
     return run
 
 
-_CROWD = "key bigint, doc_id bigint, h1 bigint, l int, c int, r int, needy boolean, tokens binary"
+_CROWD = "key bigint, doc_id bigint, h1 bigint, l int, c int, r int, open binary, tokens binary"
 
 
 def _crowd_rows(wide: int):
-    """The windows of large groups with their tokens, those within ``wide`` of c; ``needy`` if repeats known so far do not cover them whole."""
+    """The windows of large groups with their tokens, those within ``wide`` of c; ``open``: for each, whether it is of the window and repeats known so far do not cover it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _CROWD.split(", ")]
@@ -348,21 +349,156 @@ def _crowd_rows(wide: int):
                 owner, (key, l, c, r) = _flat(b.column(3).slice(lo, hi - lo), ("key", "l", "c", "r"))
                 of, (start, stop) = _flat(b.column(4).slice(lo, hi - lo), ("start", "stop"))
                 s32 = (mix(s) >> _U(32)).astype(np.uint32)
-                needy = ~_settled(of, start, stop, owner, l, r + 1)
+                mark = np.zeros(len(s) + 1, np.int64)
+                np.add.at(mark, cut[of] + start, 1)
+                np.add.at(mark, cut[of] + stop, -1)
+                bare = np.cumsum(mark)[:-1] == 0
                 first, end = np.maximum(cut[owner], cut[owner] + c - wide), np.minimum(cut[owner + 1], cut[owner] + c + wide + 1)
                 tokens = [s32[p:q].tobytes() for p, q in zip(first.tolist(), end.tolist())]
+                inner = zip(first.tolist(), end.tolist(), (cut[owner] + l).tolist(), (cut[owner] + r + 1).tolist())
+                open_ = [bytes(i - p) + bare[i:j].tobytes() + bytes(q - j) for p, q, i, j in inner]
                 rows = pa.array(owner + lo)
-                cols = [pa.array(key), b.column(0).take(rows), b.column(1).take(rows), *(pa.array(v.astype(np.int32)) for v in (l, c, r)), pa.array(needy), pa.array(tokens, pa.binary())]
+                cols = [pa.array(key), b.column(0).take(rows), b.column(1).take(rows), *(pa.array(v.astype(np.int32)) for v in (l, c, r)), *(pa.array(v, pa.binary()) for v in (open_, tokens))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def _crossings(owner: np.ndarray, c: np.ndarray, needy: np.ndarray, tokens: list[np.ndarray], lead: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+class _Open:
+    """What is still open of the windows of a list while partners are tried: each window meets earlier documents only until it is covered.
+
+    A partner is tried if a stretch of the window may be similar to it that holds an open token: the window's tokens that both
+    have reach over one and are dense enough around it. Others could add nothing to what is covered.
+    """
+
+    def __init__(self, tokens: list[np.ndarray], open_: list[np.ndarray], inside: list[tuple[int, int]], lead: np.ndarray, width: int, similar: float):
+        self.tokens, self.lead, self.inside, self.width, self.similar = tokens, lead, inside, width, similar
+        n, size = len(tokens), np.array([len(t) for t in tokens])
+        row = np.repeat(np.arange(n), size)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        _, code, many = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        number = np.where(many > 1, np.cumsum(many > 1), 0)  # 0: a token that no other window has, or none
+        self.codes = int(number.max()) + 1
+        self.table = np.zeros((n, int(size.max())), np.int32)
+        self.table[row, column] = number[code]
+        self.own = self.table.copy()
+        self.open = np.zeros(self.table.shape, bool)
+        for i, (v, (p, q)) in enumerate(zip(open_, inside)):
+            self.open[i, : len(v)] = v
+            self.own[i, :p] = self.own[i, q:] = 0
+        _, at, many = np.unique(row * self.codes + number[code], return_inverse=True, return_counts=True)
+        self.again = np.zeros(self.table.shape, bool)  # tokens that their window has more than once
+        self.again[row, column] = (many[at] > 1) & (number[code] > 0)
+        self.stop = np.array([q for _, q in inside])
+        self.needy = self._reached(self.own > 0, np.arange(n))
+
+    def _reached(self, both: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether an open token of y lies between the first and last of its tokens in ``both``."""
+        first, last = both.argmax(1), both.shape[1] - both[:, ::-1].argmax(1)
+        at = np.arange(both.shape[1])
+        return both.any(1) & (self.open[y] & (at >= first[:, None]) & (at < last[:, None])).any(1)
+
+    def _around(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens in a stretch [a, z) of ``width`` at least with end[z] >= start[a]: a lies ``width`` before them or less, or more."""
+        width, tiny = self.width, 1e-3
+        least = np.minimum.accumulate(start, 1)
+        most = np.maximum.accumulate(end[:, ::-1], 1)[:, ::-1]
+        inside = self._spread(most[:, width:] >= start[:, :-width] - tiny, width, start.shape[1] - 1)
+        inside[:, width:] |= most[:, width + 1 :] >= least[:, : -width - 1] - tiny
+        return inside
+
+    @staticmethod
+    def _spread(starts: np.ndarray, size: int, columns: int) -> np.ndarray:
+        """Tokens in the stretches of ``size`` that begin at ``starts``."""
+        sums = np.zeros((len(starts), columns + size), np.int16)
+        sums[:, size : size + starts.shape[1]] = starts
+        np.cumsum(sums, 1, out=sums)
+        return sums[:, size:] > sums[:, :-size]
+
+    def _dense(self, place: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Tokens in stretches of which enough are in x."""
+        sums = np.zeros((len(place), place.shape[1] + 1), np.float32)
+        np.cumsum(np.where(place > 0, 1, self.similar * self.again[y]), 1, dtype=np.float32, out=sums[:, 1:])
+        sums -= np.float32(self.similar) * np.arange(sums.shape[1], dtype=np.float32)
+        return self._around(sums, sums)
+
+    def _dense_plain(self, place: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Tokens in stretches, from a token of x to another, that are similar to the stretch of x across from them."""
+        far, part = np.float32(1e6), np.float32(self.similar)
+        both = place > 0
+        n = np.zeros((len(place), place.shape[1] + 1), np.float32)
+        np.cumsum(both, 1, dtype=np.float32, out=n[:, 1:])
+        n *= 1 + part
+        start, end = np.full(n.shape, far), np.full(n.shape, -far)
+        np.copyto(start[:, :-1], n[:, :-1] - part * place, where=both)
+        np.copyto(end[:, 1:], n[:, 1:] - part * (place + 1), where=both)
+        size = part * np.arange(n.shape[1], dtype=np.float32)
+        inside = self._around(start - size, end - size)
+        for short in range(math.ceil(self.similar * self.width - 1e-9), self.width):
+            hits = end[:, short:] - start[:, :-short] >= self.similar * self.width - 1e-3
+            some = np.flatnonzero(hits.any(1))
+            if len(some):  # a shorter one is taken with words after it, or before it where the window ends
+                hits, ahead = hits[some], np.arange(hits.shape[1]) + self.width <= self.stop[y[some], None]
+                back = (hits & ~ahead)[:, self.width - short :]
+                inside[some] |= self._spread((hits & ahead)[:, : place.shape[1]], self.width, place.shape[1]) | self._spread(back, self.width, place.shape[1])
+        return inside
+
+    def _useful(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        good = np.zeros(len(x), bool)
+        order = np.argsort(x, kind="stable")
+        fit = max(1, (1 << 25) // self.codes)  # documents whose tokens are spread out at once
+        lo = 0
+        while lo < len(order):
+            part = order[lo : lo + 4096]
+            some, at = np.unique(x[part], return_inverse=True)
+            if len(some) > fit:
+                part = part[: int(np.searchsorted(at, fit))]
+                some, at = some[:fit], at[: len(part)]
+            lo += len(part)
+            place = np.zeros((len(some), self.codes), np.int16)
+            place[np.arange(len(some))[:, None], self.table[some]] = np.arange(1, self.table.shape[1] + 1)
+            place[:, 0] = 0
+            place = place[at[:, None], self.own[y[part]]]
+            keep = self._reached(place > 0, y[part])
+            part, place = part[keep], place[keep]
+            # where no token occurs twice and all are in one order, what x has between them counts as well
+            plain = ~self.again[x[part]].any(1) & ~self.again[y[part]].any(1)
+            plain &= ((place == 0) | (place >= np.maximum.accumulate(place, 1))).all(1)
+            for rule in (self._dense, self._dense_plain):
+                some = part[plain] if rule == self._dense_plain else part[~plain]
+                inside = rule(place[plain] if rule == self._dense_plain else place[~plain], y[some])
+                good[some[(inside & self.open[y[some]]).any(1)]] = True
+        return good
+
+    def tried(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that were tried, the earliest documents first."""
+        good = self.needy[y]
+        good[good] = self._useful(x[good], y[good])
+        order = np.lexsort((x[good], y[good]))
+        x, y = x[good][order], y[good][order]
+        found = []
+        begin = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1]))[: len(y)])
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(y)]):
+            j, left = int(y[lo]), x[lo:hi]
+            p, q = self.inside[j]
+            while len(left):
+                i, left = int(left[0]), left[1:]
+                found.append((i, j))
+                before = np.count_nonzero(self.open[j])
+                for s, e in similar_stretches(self.tokens[i], self.tokens[j][p:q], self.width, self.similar, int(self.lead[j] + p - self.lead[i])):
+                    self.open[j, p + s : p + e] = False
+                if np.count_nonzero(self.open[j]) < before:
+                    self.needy[j : j + 1] = self._reached(self.own[j : j + 1] > 0, np.array([j]))
+                    left = left[self._useful(left, np.full(len(left), j))] if self.needy[j] else left[:0]
+        return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def _crossings(owner: np.ndarray, c: np.ndarray, needy: np.ndarray, tokens: list[np.ndarray], lead: np.ndarray, need: int, tried=lambda x, y: (x, y)) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (x, y), x of an earlier document, of a list's windows with at least ``need`` tokens in common, for each needy y.
 
     Pairs that share a token of at most RARE windows are all made. Where only more common tokens are shared, windows with
     these in the same places are one class, of which the first document stands for all. ``lead``: the first token's place less c.
+    ``tried`` takes pairs as they are found and returns those to keep; it may settle windows, which are then no longer needy.
     """
     n, size = len(owner), np.array([len(t) for t in tokens])
     row = np.repeat(np.arange(n), size)
@@ -391,6 +527,9 @@ def _crossings(owner: np.ndarray, c: np.ndarray, needy: np.ndarray, tokens: list
         both = np.sort(np.concatenate((table[x], table[y]), 1), 1)
         same = (both[:, 1:] == both[:, :-1]).sum(1) - np.maximum(pad[x] - 1, 0) - np.maximum(pad[y] - 1, 0)
         kept.append(pairs[lo : lo + 4096][same >= need])
+    if kept:
+        x, y = tried(*np.divmod(np.concatenate(kept), n))
+        kept = [x * n + y]
     # classes by the common tokens and their places
     place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + lead[row]
     sums = np.concatenate(([_U(0)], np.cumsum(np.where(hot[code], mix(names[code].astype(_U) ^ mix(place.astype(np.int64).view(_U))), _U(0)))))
@@ -400,7 +539,7 @@ def _crossings(owner: np.ndarray, c: np.ndarray, needy: np.ndarray, tokens: list
     _, rep, of = np.unique(pattern[enough], return_index=True, return_inverse=True)
     rep = enough[rep]
     number = np.cumsum(hot) - 1
-    wanted = [v[needy[v]] for v in np.split(enough[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(rep)))[:-1])] if len(rep) else []
+    wanted = np.split(enough[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(rep)))[:-1]) if len(rep) else []
     stop = np.append(begin[1:], len(r))
 
     def dense(some: np.ndarray) -> np.ndarray:
@@ -410,29 +549,43 @@ def _crossings(owner: np.ndarray, c: np.ndarray, needy: np.ndarray, tokens: list
             out[i, number[own[hot[own]]]] = 1
         return out
 
-    some = np.array([q for q, ys in enumerate(wanted) if len(ys)], np.int64)
-    for p in range(0, len(rep), 512):
-        left = dense(rep[p : p + 512])
-        for lo in range(0, len(some), 512):
-            j, i = np.nonzero(dense(rep[some[lo : lo + 512]]) @ left.T >= need)
-            cut = np.searchsorted(j, np.arange(len(some[lo : lo + 512]) + 1))
-            for q, a, z in zip(some[lo : lo + 512].tolist(), cut, cut[1:]):
-                x, y = np.repeat(rep[p + i[a:z]], len(wanted[q])), np.tile(wanted[q], z - a)
-                kept.append((x * n + y)[owner[x] < owner[y]])
+    order = np.argsort(rep)
+    wanted = [(rep[q], wanted[q][lo : lo + 1024]) for q in order for lo in range(0, len(wanted[q]), 1024)]
+    rep = rep[order]
+    cut = [0, 8, 32, 128, *range(512, len(rep), 512)]  # most windows are settled by the first documents
+    for p, stop_ in zip(cut, [*cut[1:], len(rep)]):
+        some = [(q, ys) for q, v in wanted if p < len(rep) and len(ys := v[needy[v] & (owner[v] > owner[rep[p]])])]
+        left = dense(rep[p:stop_]) if some else None
+        blocks = np.cumsum([max(len(ys), 8) for _, ys in some]) // 4096
+        for lo, hi in zip(*(np.searchsorted(blocks, np.unique(blocks), side=side).tolist() for side in ("left", "right"))):
+            of, members = zip(*some[lo:hi])
+            j, i = np.nonzero(dense(np.array(of)) @ left.T >= need)
+            many = np.array([len(v) for v in members])
+            flat, first = np.concatenate(members), np.cumsum(many) - many
+            y = flat[np.repeat(first[j] - np.cumsum(many[j]) + many[j], many[j]) + np.arange(many[j].sum())]
+            x = np.repeat(rep[p + i], many[j])
+            good = owner[x] < owner[y]
+            x, y = tried(x[good], y[good])
+            kept.append(x * n + y)
     return np.divmod(np.unique(np.concatenate(kept)), n) if kept else (r[:0], r[:0])
 
 
-def _crowds(need: int, wide: int):
-    """Lists of windows of large groups, sorted by key and document, as pairs of windows."""
+def _crowds(need: int, wide: int, width: int, similar: float):
+    """Lists of windows of large groups, sorted by key and document, as the pairs of windows that were tried."""
 
     def made(held: list[tuple]) -> pa.RecordBatch | None:
-        _, doc, h1, l, c, r, needy, raw = zip(*held)
-        doc, h1, l, c, r, needy = (np.array(v) for v in (doc, h1, l, c, r, needy))
+        _, doc, h1, l, c, r, open_, raw = zip(*held)
+        doc, h1, l, c, r = (np.array(v) for v in (doc, h1, l, c, r))
         owner = np.cumsum(np.concatenate(([True], (doc[1:] != doc[:-1]) | (h1[1:] != h1[:-1]))))
-        if not needy.any() or owner[-1] == 1:
+        if owner[-1] == 1 or not any(map(any, open_)):
             return None
-        x, y = _crossings(owner, c, needy, [np.frombuffer(t, np.uint32) for t in raw], -np.minimum(c, wide), need)
-        cols = [doc[x], h1[x], doc[y], h1[y], np.zeros(len(x)), l[x], r[x], l[y], r[y], c[y] - c[x]]
+        tokens, lead = [np.frombuffer(t, np.uint32) for t in raw], -np.minimum(c, wide)
+        inside = list(zip((l - c - lead).tolist(), (r - c - lead + 1).tolist()))
+        state = _Open(tokens, [np.frombuffer(v, bool) for v in open_], inside, lead, width, similar)
+        x, y = _crossings(owner, c, state.needy, tokens, lead, need, state.tried)
+        start = c + lead  # all that was compared of x
+        stop = start + np.array([len(t) for t in tokens]) - 1
+        cols = [doc[x], h1[x], doc[y], h1[y], np.zeros(len(x)), start[x], stop[x], l[y], r[y], c[y] - c[x]]
         return pa.RecordBatch.from_arrays([pa.array(v.astype(t)) for v, t in zip(cols, [np.int64] * 4 + [np.int32] * 6)], [f.split()[0] for f in _PAIR.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -767,7 +920,7 @@ def passages(df: DataFrame, passage: int = 50, similar: float = 0.8, doc_id: str
     crowd = staged(crowd.join(_known(exact.unionByName(near)), ["doc_id", "h1"], "left").select("doc_id", "h1", "windows", "known"), "crowd")
     rows = _narrow(first, crowd.select("doc_id").distinct()).join(crowd, ["doc_id", "h1"]).select("doc_id", "h1", "text", "windows", "known")
     rows = rows.mapInArrow(_crowd_rows(wide), _CROWD).repartition("key").sortWithinPartitions("key", "doc_id", "h1", "c")
-    crossed = staged(rows.mapInArrow(_crowds(need, wide), _PAIR), "crossed")
+    crossed = staged(rows.mapInArrow(_crowds(need, wide, width, similar), _PAIR), "crossed")
     found = near.unionByName(_near(first, crossed, exact.unionByName(near), width, similar))
     spans = found.unionByName(exact).groupBy("doc_id", "h1", "source").agg(F.collect_set(F.struct("start", "stop")).alias("s"))
     inside = lambda s: F.exists("s", lambda t: (t["start"] <= s["start"]) & (t["stop"] >= s["stop"]) & (t != s))

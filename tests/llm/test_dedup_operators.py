@@ -464,3 +464,58 @@ def test_op1_partners_in_groups_of_any_size(spark):
     found = sum(any(s["source"] == i - half for s in got[i]) for i in range(half, 2 * half))
     print("found in a large group:", found, "of", half)
     assert found >= 0.99 * half
+
+
+def copies_of(rng, base, count, changed):
+    """Each copy of the text has as many words changed, in other places."""
+    out = []
+    for _ in range(count):
+        p = list(base)
+        for at in rng.sample(range(len(p)), changed):
+            p[at] = "c%d" % rng.randrange(1_000_000_000)
+        out.append(p)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_are_tried_only_until_they_are_covered(seed):
+    """Pairs that are tried cover all that all pairs cover, and do not grow with the square of the group."""
+    rng = random.Random(seed)
+    line = ["l%d" % i for i in range(115 + 4)]
+    tokens = [(tokens_of(p) >> np.uint64(30)).astype(np.uint32) for p in copies_of(rng, line, 120, 3 + seed)]
+    n = len(tokens)
+    lead, inside = np.full(n, -57), [(12, 103)] * n
+    bare = [np.r_[np.zeros(12, bool), np.ones(91, bool), np.zeros(12, bool)]] * n
+    state = substring_dedup._Open(tokens, bare, inside, lead, 46, 0.8)
+    x, y = substring_dedup._crossings(np.arange(n), np.full(n, 57), state.needy, tokens, lead, 36, state.tried)
+    assert (x < y).all() and 0 < len(x) < 12 * n
+    for j in range(n):
+        covered = np.zeros(91, bool)
+        for i in range(j):
+            for s, e in substring_dedup.similar_stretches(tokens[i], tokens[j][12:103], 46, 0.8, 12):
+                hit = np.flatnonzero(np.isin(tokens[j][12:103][s:e], tokens[i]))
+                covered[s + hit[0] : s + hit[-1] + 1] = True
+        assert not (covered & state.open[j, 12:103]).any(), j
+
+
+def test_op1_pairs_of_one_large_group_of_near_copies(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = [(i, " ".join(p)) for i, p in enumerate(copies_of(rng, ["n%d" % i for i in range(150)], 400, 4))]
+    made, staged = {}, substring_dedup.staged
+    monkeypatch.setattr(substring_dedup, "staged", lambda df, name: made.setdefault((name, len(made)), staged(df, name)))
+    got = {r["doc_id"]: r["spans"] for r in substring_dedup.passages(docs(spark, rows)).collect()}
+    merged = [df.count() for (name, _), df in made.items() if name == "merged"]
+    print("pairs of 400 near copies:", merged)
+    assert sum(merged) < 40 * len(rows)
+    sets = [tokens_of(t.split()) for _, t in rows]
+    words = found = 0
+    for i in range(1, 400):
+        due, have = np.zeros(150, bool), np.zeros(150, bool)
+        for j in range(min(i, 60)):
+            for s, e in substring_dedup.similar_stretches(sets[j], sets[i], 46, 0.8):
+                due[s : e + 4] = True
+        for s in got[i]:
+            have[s["start"] : s["stop"]] = True
+        words, found = words + due.sum(), found + (due & have).sum()
+    print("words covered in a large group of near copies:", found, "of", words)
+    assert found >= 0.95 * words
